@@ -113,17 +113,19 @@ def _model_exprs():
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long prediction table ``(row_id, environment, model, y_true, y_pred)``.
+    """Long prediction table ``(row_id, environment, model, y_true, y_pred)``."""
+    return predictions_from(comfort(spark, sf_dir))
 
-    Models are fixed affine expressions of the features, expanded by ``explode`` of a
-    five-element array (no join)."""
-    cf = comfort(spark, sf_dir)
+
+def predictions_from(cf: DataFrame, extra=()) -> DataFrame:
+    """Models are fixed affine expressions of the features, expanded by ``explode`` of a
+    five-element array (no join).  ``extra`` columns (e.g. ``fold``) are carried."""
     exprs = _model_exprs()
     arr = F.array(*[F.struct(F.lit(m).alias("model"), e.cast("double").alias("y_pred"))
                     for m, e in exprs.items()])
-    return (cf.select("row_id", "environment", F.col("target").alias("y_true"),
+    return (cf.select("row_id", "environment", *extra, F.col("target").alias("y_true"),
                       F.explode(arr).alias("p"))
-            .select("row_id", "environment", "p.model", "y_true", "p.y_pred"))
+            .select("row_id", "environment", *extra, "p.model", "y_true", "p.y_pred"))
 
 
 # ----------------------------------------------------------------------------------------
@@ -173,9 +175,14 @@ _MODEL_SQL = {
     "constant": "0.0::double",
 }
 
-PREDICTIONS_SQL = COMFORT_SQL + ",\npreds AS (\n" + "\n  UNION ALL\n".join(
-    f"  SELECT row_id, environment, '{m}' AS model, target AS y_true, cast({e} AS double) AS y_pred FROM comfort"
-    for m, e in _MODEL_SQL.items()) + "\n)"
+def preds_sql(src: str = "comfort", name: str = "preds", extra: str = "") -> str:
+    """CTE body expanding ``src`` into the five prediction models."""
+    return f"{name} AS (\n" + "\n  UNION ALL\n".join(
+        f"  SELECT row_id, environment, {extra}'{m}' AS model, target AS y_true, cast({e} AS double) AS y_pred FROM {src}"
+        for m, e in _MODEL_SQL.items()) + "\n)"
+
+
+PREDICTIONS_SQL = COMFORT_SQL + ",\n" + preds_sql()
 
 
 def with_sql(*ctes: str) -> str:
