@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
+
 # Ranking metrics and their direction (True = lower is better).
 RANK_METRICS = {"RMSE": True, "MAE": True, "R2": False, "Accuracy": False,
                 "Kappa_quadratic": False, "Kendall_tau_b": False}
@@ -81,8 +83,8 @@ def compare_pipelines(a: DataFrame, b: DataFrame, env="environment", names=("Pre
     nb_cnt = F.sum(b_better.cast("int")).over(w)
     na_cnt = F.sum(a_better.cast("int")).over(w)
     winner = F.when(nb_cnt > na_cnt, F.lit(nb)).when(na_cnt > nb_cnt, F.lit(na)).otherwise(F.lit("Tie"))
-    return long.select(env, "metric", F.round("va", 4).alias(na), F.round("vb", 4).alias(nb),
-                       F.round(d, 4).alias("difference"), "better", winner.alias("overall_winner"))
+    return long.select(env, "metric", r6("va", 4).alias(na), r6("vb", 4).alias(nb),
+                       r6(d, 4).alias("difference"), "better", winner.alias("overall_winner"))
 
 
 def pool_environments(df: DataFrame, envs, env="environment", pooled_name="Combined") -> DataFrame:
