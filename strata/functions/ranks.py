@@ -15,13 +15,14 @@ from .quantiles import monotone_bucket
 
 
 def salted_row_number(df: DataFrame, keys, hex_key: str, tie: str, out: str = "rn",
-                      salt_chars: int = 3) -> DataFrame:
+                      salt_chars: int = 3, bucket=None) -> DataFrame:
     """1-based ``row_number() OVER (PARTITION BY keys ORDER BY hex_key, tie)``.
 
     ``hex_key`` is a hex digest; its first ``salt_chars`` characters are the sub-bucket
-    (16**salt_chars per group), so ordering by (bucket, key) is ordering by key."""
+    (16**salt_chars per group), so ordering by (bucket, key) is ordering by key.  A
+    different order-preserving ``bucket`` column can be given instead."""
     keys = list(keys)
-    b = F.substring(F.col(hex_key), 1, salt_chars)
+    b = bucket if bucket is not None else F.substring(F.col(hex_key), 1, salt_chars)
     d = df.withColumn("_salt", b)
     local = Window.partitionBy(*keys, "_salt").orderBy(hex_key, tie)
     d = d.withColumn("_local", F.row_number().over(local))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import monotone_bucket
 from ..functions.ranks import salted_row_number
 from .prep import FOLD_CTX
 
@@ -61,14 +62,14 @@ def eta_squared(df: DataFrame, env: str, fold: str, target: str, cat_cols, n_fol
                                                         F.sum(F.col("y") * F.col("y")).alias("ss"))
     tr = _credit(per, n_folds, fold).groupBy(env, FOLD_CTX, "feature", "level").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    tot = tr.groupBy(env, FOLD_CTX, "feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"),
-                                                   F.sum("ss").alias("SS"), F.count(F.lit(1)).alias("levels"))
+    tot = tr.groupBy(env, FOLD_CTX, "feature").agg(F.sum("n").alias("t_n"), F.sum("s").alias("t_s"),
+                                                   F.sum("ss").alias("t_ss"), F.count(F.lit(1)).alias("levels"))
     j = tr.join(tot, [env, FOLD_CTX, "feature"])
-    dev = F.col("s") / F.col("n") - F.col("S") / F.col("N")
+    dev = F.col("s") / F.col("n") - F.col("t_s") / F.col("t_n")
     ssb = j.groupBy(env, FOLD_CTX, "feature").agg(F.sum(F.col("n") * dev * dev).alias("ssb"),
-                                                  F.first("SS").alias("SS"), F.first("S").alias("S"),
-                                                  F.first("N").alias("N"), F.first("levels").alias("levels"))
-    sst = F.col("SS") - F.col("S") * F.col("S") / F.col("N")
+                                                  F.first("t_ss").alias("t_ss"), F.first("t_s").alias("t_s"),
+                                                  F.first("t_n").alias("t_n"), F.first("levels").alias("levels"))
+    sst = F.col("t_ss") - F.col("t_s") * F.col("t_s") / F.col("t_n")
     return ssb.select(env, FOLD_CTX, "feature", F.when((F.col("levels") >= 2) & (sst > 0), F.col("ssb") / sst)
                       .otherwise(F.lit(0.0)).alias("score"))
 
@@ -93,7 +94,8 @@ def permutation_values(valid: DataFrame, row_id: str, keys, features, repeats: i
     long = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     gk = list(keys) + ["feature", "rep"]
     a = long.withColumn("_ik", F.lpad(F.hex(F.col(row_id)), 16, "0"))
-    a = salted_row_number(a, gk, "_ik", row_id, out="_pos", salt_chars=4)
+    a = salted_row_number(a, gk, "_ik", row_id, out="_pos",
+                          bucket=monotone_bucket(F.col(row_id).cast("double"), 256))
     b = long.withColumn("_pk", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("rep").cast("string"),
                                                    F.col(row_id).cast("string"))))
     b = salted_row_number(b, gk, "_pk", row_id, out="_pos").select(*gk, "_pos", F.col("x").alias("x_perm"))
