@@ -40,33 +40,40 @@ def value_counts(df: DataFrame, keys, value: str, out: str = "v", weight: str |
 
 def quantiles_from_counts(counts: DataFrame, keys, probs, v: str = "v", n: str = "n",
                           per_octave: int = 4096) -> DataFrame:
-    """Linear-interpolated quantiles ``(keys..., p, q)`` from a distinct-value count table."""
+    """Linear-interpolated quantiles ``(keys..., p, q)`` from a distinct-value count table.
+
+    Shuffles: sub-bucket counts, one window over the (small) bucket table, one join of
+    the located buckets back to their values, one window inside those buckets, one
+    final aggregation."""
     keys = list(keys)
     unb = Window.unboundedPreceding
     base = counts.select(*keys, F.col(v).alias("_v"), F.col(n).alias("_n")) \
         .withColumn("_b", monotone_bucket("_v", per_octave))
     buckets = base.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(unb, -1)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    total = buckets.groupBy(*keys).agg(F.sum("_bn").alias("_N"))
-
-    h = (F.col("_N") - 1).cast("double") * F.col("p")
-    targets = (total.select(*keys, "_N", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .withColumn("_h", h)
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.ceil("_h").cast("long")))
-    wanted = targets.select(*keys, "p", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r"))
-    located = (wanted.join(buckets, keys)
-               .where((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_bn")))
-               .select(*keys, "p", "_r", "_b", "_before"))
-    inside = base.join(located, keys + ["_b"])
-    wv = Window.partitionBy(*keys, "p", "_r").orderBy("_v").rowsBetween(unb, 0)
-    inside = inside.withColumn("_cum", F.col("_before") + F.sum("_n").over(wv))
-    picked = (inside.where((F.col("_cum") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("_cum")))
-              .select(*keys, "p", "_r", F.col("_v").alias("_x")))
-    lo = picked.select(*keys, "p", F.col("_r").alias("_lo"), F.col("_x").alias("_xlo"))
-    hi = picked.select(*keys, "p", F.col("_r").alias("_hi"), F.col("_x").alias("_xhi"))
-    res = targets.join(lo, keys + ["p", "_lo"]).join(hi, keys + ["p", "_hi"])
+    wk = Window.partitionBy(*keys)
+    buckets = (buckets.withColumn("_before", F.coalesce(F.sum("_bn").over(wk.orderBy("_b").rowsBetween(unb, -1)),
+                                                        F.lit(0)))
+               .withColumn("_N", F.sum("_bn").over(wk)))
+    # order statistics each probability needs: floor and ceil of (N - 1) p
+    wanted = []
+    for p in probs:
+        h = (F.col("_N") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        for r in (lo, hi):
+            wanted.append(F.struct(F.lit(float(p)).alias("p"), h.alias("h"), lo.alias("lo"), hi.alias("hi"),
+                                   r.alias("r")))
+    inside_bucket = F.filter(F.array_distinct(F.array(*wanted)),
+                             lambda t: (t["r"] >= F.col("_before")) & (t["r"] < F.col("_before") + F.col("_bn")))
+    located = buckets.select(*keys, "_b", "_before", F.explode(inside_bucket).alias("t")) \
+        .select(*keys, "_b", "_before", "t.*")
+    vals = base.join(located, keys + ["_b"])
+    wv = Window.partitionBy(*keys, "p", "r").orderBy("_v").rowsBetween(unb, 0)
+    vals = vals.withColumn("_cum", F.col("_before") + F.sum("_n").over(wv))
+    picked = vals.where((F.col("_cum") - F.col("_n") <= F.col("r")) & (F.col("r") < F.col("_cum")))
+    res = picked.groupBy(*keys, "p").agg(
+        F.first("h").alias("_h"), F.first("lo").alias("_lo"), F.first("hi").alias("_hi"),
+        F.max(F.when(F.col("r") == F.col("lo"), F.col("_v"))).alias("_xlo"),
+        F.max(F.when(F.col("r") == F.col("hi"), F.col("_v"))).alias("_xhi"))
     d = F.col("_h") - F.col("_lo").cast("double")
     q = F.when(F.col("_lo") == F.col("_hi"), F.col("_xlo")).otherwise(
         F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * d)

@@ -101,9 +101,7 @@ def fit_numeric(long: DataFrame, env: str, n_folds: int | None, per_octave=4096)
     med = small_table(fit_median(counts, keys, per_octave))
     cap = small_table(fit_cap(counts, med, keys, per_octave=per_octave))
     sc = small_table(fit_scale(counts, med, cap, keys, per_octave))
-    stats = small_table(med.join(cap, keys).join(sc, keys))
-    counts.unpersist()
-    return stats
+    return med.join(cap, keys).join(sc, keys)
 
 
 def small_table(df: DataFrame) -> DataFrame:
