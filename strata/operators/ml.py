@@ -1,0 +1,212 @@
+"""pyspark.ml learners fitted per fold context (survey IDs M05-M10, M12, M13, B04).
+
+Every (environment, fold) context is one distributed ``pyspark.ml`` fit on the
+persisted design rows; independent fits are submitted from a small thread pool so
+the cluster runs several at once.  Only the list of contexts (environments x folds)
+is read on the driver.  Learners the engine lacks are re-aimed (see README):
+random-threshold trees -> unbootstrapped forest, support-vector RBF -> random Fourier
+features + Huber regression, MLP regressor -> MLP classifier on the 7 classes.
+"""
+
+from __future__ import annotations
+
+import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+import numpy as np
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
+                                   RandomForestRegressor)
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .prep import FOLD_CTX
+
+SEED = 42
+
+# Reference hyper-parameters, mapped to Spark's tree learners.
+# (Spark trees are depth-limited to 30; LightGBM's 31 leaves ~ depth 5.)
+BOOSTER_PRESETS = {
+    "gradient_boosting": dict(maxIter=300, maxDepth=3, stepSize=0.05, subsamplingRate=1.0, featureSubsetStrategy="all"),
+    "xgboost": dict(maxIter=700, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
+    "lightgbm": dict(maxIter=600, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
+    "catboost": dict(maxIter=1000, maxDepth=7, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="all"),
+}
+FOREST_PRESET = dict(numTrees=300, maxDepth=30)
+EXTRA_TREES_PRESET = dict(numTrees=500, maxDepth=18, minInstancesPerNode=3, bootstrap=False,
+                          featureSubsetStrategy="onethird")
+ADABOOST_PRESET = dict(n_estimators=400, learning_rate=0.05, max_depth=3)
+RFF_COMPONENTS = 100
+
+
+def assemble(design: DataFrame, xcols, out="features") -> DataFrame:
+    return VectorAssembler(inputCols=list(xcols), outputCol=out, handleInvalid="keep").transform(design)
+
+
+def contexts(design: DataFrame, env="environment"):
+    """The (environment, fold) pairs -- environments x folds, a handful of rows."""
+    return [(r[0], r[1]) for r in design.select(env, FOLD_CTX).distinct().orderBy(env, FOLD_CTX).collect()]
+
+
+def fit_per_context(design: DataFrame, xcols, fit_predict, name: str, env="environment", row_id="row_id",
+                    target="target", parallel: int = 8) -> DataFrame:
+    """Run ``fit_predict(train_df, valid_df) -> valid_df with 'prediction'`` for every
+    context concurrently; returns the long OOF table."""
+    d = assemble(design, xcols).persist()
+
+    def one(ctx):
+        e, k = ctx
+        part = d.where((F.col(env) == e) & (F.col(FOLD_CTX) == k))
+        tr = part.where(F.col("role") == "train")
+        va = part.where(F.col("role") == "valid")
+        out = fit_predict(tr, va, part)
+        return out.select(row_id, env, F.col(FOLD_CTX).alias("fold"), F.lit(name).alias("model"),
+                          F.col(target).alias("y_true"), F.col("prediction").cast("double").alias("y_pred"))
+
+    with ThreadPoolExecutor(max_workers=parallel) as ex:
+        parts = list(ex.map(one, contexts(d, env)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _fp(estimator):
+    def run(tr, va, part):
+        return estimator.copy().fit(tr).transform(va)
+    return run
+
+
+def decision_tree(max_depth=30, label="target"):
+    """M05 (unbounded depth in the reference; Spark caps at 30)."""
+    return _fp(DecisionTreeRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth, seed=SEED))
+
+
+def random_forest(label="target", **preset):
+    """M06."""
+    p = dict(FOREST_PRESET, **preset)
+    return _fp(RandomForestRegressor(featuresCol="features", labelCol=label, seed=SEED, **p))
+
+
+def extra_trees(label="target", **preset):
+    """M07 re-aimed: unbootstrapped random forest with feature subsampling."""
+    p = dict(EXTRA_TREES_PRESET, **preset)
+    return _fp(RandomForestRegressor(featuresCol="features", labelCol=label, seed=SEED, **p))
+
+
+def gradient_boosting(preset="gradient_boosting", label="target", **override):
+    """One boosted-tree operator, presets for the four boosters."""
+    p = dict(BOOSTER_PRESETS[preset], **override)
+    return _fp(GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, **p))
+
+
+def early_stopping_gbt(preset="xgboost", label="target", tol=0.01, **override):
+    """Boosting with the validation fold as early-stopping set (reference Q5
+    semantics); Spark stops when the relative validation improvement falls below tol."""
+    p = dict(BOOSTER_PRESETS[preset], **override)
+    est = GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, validationIndicatorCol="_is_valid",
+                       validationTol=tol, **p)
+
+    def run(tr, va, part):
+        m = est.fit(part.withColumn("_is_valid", F.col("role") == "valid"))
+        return m.transform(va)
+    return run
+
+
+def adaboost_r2(label="target", row_id="row_id", **preset):
+    """AdaBoost.R2 (linear loss) with weighted depth-3 trees; prediction is the
+    weighted median of the estimators (weights via ``weightCol`` instead of resampling)."""
+    p = dict(ADABOOST_PRESET, **preset)
+
+    def run(tr, va, part):
+        w = tr.withColumn("_w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy()))
+        w = w.select(row_id, "features", label, "_w").persist()
+        va_preds, alphas = [], []
+        for t in range(int(p["n_estimators"])):
+            m = DecisionTreeRegressor(featuresCol="features", labelCol=label, weightCol="_w",
+                                      maxDepth=p["max_depth"], seed=SEED + t).fit(w)
+            sc = m.transform(w).withColumn("_e", F.abs(F.col("prediction") - F.col(label)))
+            emax = sc.agg(F.max("_e")).first()[0] or 0.0
+            if emax <= 0:
+                alphas.append(1.0)
+                va_preds.append(m)
+                break
+            sc = sc.withColumn("_l", F.col("_e") / F.lit(emax))
+            lbar = sc.agg(F.sum(F.col("_w") * F.col("_l")) / F.sum("_w")).first()[0]
+            if lbar >= 0.5:
+                if not va_preds:
+                    alphas.append(1.0)
+                    va_preds.append(m)
+                break
+            beta = lbar / (1.0 - lbar)
+            alphas.append(p["learning_rate"] * math.log(1.0 / beta))
+            va_preds.append(m)
+            nw = sc.select(row_id, "features", label,
+                           (F.col("_w") * F.pow(F.lit(beta), (F.lit(1.0) - F.col("_l")) * F.lit(p["learning_rate"])))
+                           .alias("_w"))
+            tot = nw.agg(F.sum("_w")).first()[0]
+            nxt = nw.withColumn("_w", F.col("_w") / F.lit(tot))
+            if t % 10 == 9:  # reliable checkpoint keeps the plan short
+                nxt = nxt.checkpoint(eager=True)
+            nxt = nxt.persist()
+            nxt.count()
+            w.unpersist()
+            w = nxt
+        w.unpersist()
+        # weighted median of the estimators' predictions on the validation rows
+        cols = []
+        for i, m in enumerate(va_preds):
+            cols.append(m.transform(va.select(row_id, "features")).select(row_id, F.lit(i).alias("t"),
+                                                                          F.col("prediction").alias("pt")))
+        long = reduce(lambda a, b: a.unionByName(b), cols)
+        aw = F.array(*[F.lit(float(a)) for a in alphas])
+        long = long.withColumn("at", aw.getItem(F.col("t")))
+        ww = Window.partitionBy(row_id).orderBy("pt", "t")
+        long = (long.withColumn("_cum", F.sum("at").over(ww.rowsBetween(Window.unboundedPreceding, 0)))
+                .withColumn("_tot", F.sum("at").over(Window.partitionBy(row_id))))
+        med = long.where(F.col("_cum") >= 0.5 * F.col("_tot")).groupBy(row_id).agg(
+            F.min_by("pt", "_cum").alias("prediction"))
+        return va.join(med, row_id)
+    return run
+
+
+def kernel_rbf(xcols, label="target", components=RFF_COMPONENTS, seed=SEED, max_iter=200):
+    """M12 re-aimed: random Fourier features of an RBF kernel (gamma = 1/(p var(X)) of the
+    training rows) and a Huber-loss linear regression on them."""
+    rng = np.random.default_rng(seed)
+    w0 = rng.standard_normal((components, len(xcols)))
+    b0 = rng.uniform(0.0, 2.0 * math.pi, components)
+
+    def run(tr, va, part):
+        var = tr.select(F.explode(F.array(*[F.col(c) for c in xcols])).alias("v")).agg(F.var_pop("v")).first()[0]
+        gamma = 1.0 / (len(xcols) * var) if var and var > 0 else 1.0
+        s = math.sqrt(2.0 * gamma)
+
+        def feats(df):
+            zs = []
+            for d in range(components):
+                dot = None
+                for j, c in enumerate(xcols):
+                    term = F.lit(float(w0[d, j])) * F.col(c)
+                    dot = term if dot is None else dot + term
+                zs.append(F.lit(math.sqrt(2.0 / components)) * F.cos(F.lit(s) * dot + F.lit(float(b0[d]))))
+            return VectorAssembler(inputCols=[f"_z{d}" for d in range(components)], outputCol="rff").transform(
+                df.select("*", *[z.alias(f"_z{d}") for d, z in enumerate(zs)]))
+        m = LinearRegression(featuresCol="rff", labelCol=label, loss="huber", regParam=0.0,
+                             maxIter=max_iter).fit(feats(tr))
+        return m.transform(feats(va))
+    return run
+
+
+def neural_ordinal(n_features, label="target", hidden=100, max_iter=200):
+    """M13 re-aimed: MLP classifier on the 7 ordinal classes; prediction = expected class."""
+    def run(tr, va, part):
+        cls = (F.bround(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col(label))), 0) + 3).cast("double")
+        est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="_cls", layers=[n_features, hidden, 7],
+                                             maxIter=max_iter, seed=SEED)
+        m = est.fit(tr.withColumn("_cls", cls))
+        out = m.transform(va)
+        prob = vector_to_array("probability")
+        exp = F.aggregate(F.transform(prob, lambda pr, i: pr * (i - 3).cast("double")), F.lit(0.0), lambda a, b: a + b)
+        return out.drop("prediction").withColumn("prediction", exp)
+    return run
