@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The original research code processes static survey tables only (no streams,
+watermarks or state).  The batch operators of this library are plain DataFrame
+functions, so they can be applied inside ``foreachBatch`` if a deployment needs it,
+but no streaming operator is provided.
+"""
