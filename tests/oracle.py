@@ -50,6 +50,20 @@ def rows_of(cols, rows):
     return [tuple(_norm(r[i]) for i in order) for r in rows]
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(spark_df, description):
+    st = {f.name.lower(): f.dataType.simpleString() for f in spark_df.schema.fields}
+    out = []
+    for name, dtype, *_ in description:
+        want = SPARK_TO_DUCK.get(st.get(name.lower(), ""), "?")
+        if str(dtype) != want:
+            out.append(f"{name}: spark {st.get(name.lower())} vs duck {dtype}")
+    return out
+
+
 def compare(spark_df, con, sql):
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -58,6 +72,9 @@ def compare(spark_df, con, sql):
     d_rows = cur.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    tm = type_mismatches(spark_df, cur.description)
+    if tm:
+        return False, "types differ: " + "; ".join(tm)
     if len(s_rows) != len(d_rows):
         return False, f"row count spark={len(s_rows)} duck={len(d_rows)}"
     a, b = Counter(rows_of(s_cols, s_rows)), Counter(rows_of(d_cols, d_rows))
@@ -71,6 +88,9 @@ def compare(spark_df, con, sql):
 
 def main(argv):
     sf = "/root/testdata/sf0.01"
+    sql_only = False
+    if argv and argv[0] == "--sql-only":
+        sql_only, argv = True, argv[1:]
     if argv and argv[0] == "--sf":
         sf, argv = argv[1], argv[2:]
     sys.path.insert(0, ".")
@@ -79,7 +99,7 @@ def main(argv):
     spark = build_session(shuffle_partitions=8)
     con = duck(sf)
     reg = load_all()
-    names = [n for n in reg if not argv or any(n.startswith(p) for p in argv)]
+    names = [n for n in reg if (not argv or any(n.startswith(p) for p in argv)) and (reg[n].sql or not sql_only)]
     bad = 0
     for n in names:
         q = reg[n]
