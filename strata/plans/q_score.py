@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..session import cut_lineage
 from ..operators import models, score
 from ..operators.prep import FOLD_CTX
 from ..sources.tables import COMFORT_SPEC, with_sql
@@ -103,10 +104,12 @@ class Scores:
         perm = score.permutation_values(valid, "row_id", [ENV, FOLD_CTX],
                                         {f: models.FEATURE_PREFIX + f for f in NUM}, REPEATS, SEED)
         r4 = score.permutation_importance(preds, weights, perm, "row_id", [ENV, FOLD_CTX])
-        self.r4 = r4.select(ENV, FOLD_CTX, "model", "feature", *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")])
+        self.r4 = cut_lineage(r4.select(ENV, FOLD_CTX, "model", "feature",
+                                        *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")]))
         self.pr = score.minmax_rank(self.r4, [ENV, FOLD_CTX, "model"], value="dR2", out="p")
-        self.comb = score.combine_scores(self.ur.select(ENV, FOLD_CTX, "feature", "u"),
-                                         self.pr.select(ENV, FOLD_CTX, "model", "feature", "p"), [ENV, FOLD_CTX])
+        self.comb = cut_lineage(score.combine_scores(self.ur.select(ENV, FOLD_CTX, "feature", "u"),
+                                                     self.pr.select(ENV, FOLD_CTX, "model", "feature", "p"),
+                                                     [ENV, FOLD_CTX]))
         self.picks = score.top_m(self.comb, [ENV, FOLD_CTX, "model"], 7)
         self.stab = score.stability_selection(self.picks, self.comb, [ENV, "model"], K)
 

@@ -6,9 +6,15 @@ from strata.plans.catalog import load_all
 from tests.conftest import SF_SMALL
 from tests.oracle import compare
 
+import os
+
 REG = load_all()
 SQL_NAMES = sorted(n for n, q in REG.items() if q.sql)
-ROWS_NAMES = sorted(n for n, q in REG.items() if not q.sql)
+# pyspark.ml fits and composite runs take minutes; run them with STRATA_SLOW=1
+SLOW = {"M05_decision_tree", "M06_random_forest", "M07_extra_trees", "M08_gradient_boosting", "M09_early_stopping",
+        "M10_adaboost_r2", "M12_kernel_regression_rbf", "M13_neural_ordinal", "B04_blend_gbt", "M16_baseline_run",
+        "L09_ablation_grid"}
+ROWS_NAMES = sorted(n for n, q in REG.items() if not q.sql and (n not in SLOW or os.environ.get("STRATA_SLOW")))
 
 
 @pytest.mark.parametrize("name", SQL_NAMES)
