@@ -245,15 +245,16 @@ def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame
 # k nearest neighbours (exact)
 # ------------------------------------------------------------------------------------
 
-def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, band_width: float = 0.25) -> DataFrame:
+def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15) -> DataFrame:
     """Exact k-nearest-neighbour regression with inverse-distance weights (a
     zero-distance neighbour takes all the weight), training rows = other folds.
 
     No all-pairs join: (1) the k training rows nearest in the leading feature are found
-    with sorted windows (a 1-D merge of validation and training rows per context);
-    their full distances give an upper bound D on the k-th neighbour distance;
-    (2) only training rows inside the band |x1 - q1| <= D can be neighbours, found with
-    an equi-join on band buckets; (3) exact distances, row_number <= k."""
+    by a 1-D merge of validation and training rows per context (bucketed running
+    count); their full distances give an upper bound D on the k-th neighbour distance;
+    (2) only training rows inside the box |x_i - q_i| <= D (first two features) can be
+    neighbours, found with an equi-join on grid cells; (3) exact distances, the k
+    nearest (ties -> training row id)."""
     env, key = spec.env, [spec.env, FOLD_CTX]
     lead = xcols[0]
     tr = design.where(F.col("role") == "train").select(spec.row_id, *key, spec.target, *xcols)
@@ -277,13 +278,24 @@ def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, band_w
     wk = Window.partitionBy(spec.row_id, *key).orderBy("_d", "_tid")
     bound = (c1.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
              .groupBy(spec.row_id, *key).agg(F.max("_d").alias("_D")))
-    # (2) band join on leading-feature buckets
-    qb = (vax.join(bound, key + [spec.row_id])
-          .withColumn("_b", F.explode(F.sequence(F.floor((F.col("q" + lead) - F.col("_D")) / band_width).cast("long"),
-                                                 F.floor((F.col("q" + lead) + F.col("_D")) / band_width).cast("long")))))
-    tb = trx.join(tr.select(F.col(spec.row_id).alias("_tid"), *key, spec.target), key + ["_tid"]) \
-            .withColumn("_b", F.floor(F.col("t" + lead) / band_width).cast("long"))
-    pairs = qb.join(tb, key + ["_b"]).where(F.abs(F.col("q" + lead) - F.col("t" + lead)) <= F.col("_D"))
+    # (2) exact pruning on a grid of the first one or two features: every true neighbour
+    # lies in the box |x_i - q_i| <= D; the cell width is the context's mean bound, so
+    # a box spans a few cells holding ~k*4/pi candidates on average.
+    dims = xcols[:2]
+    width = bound.groupBy(*key).agg(F.greatest(F.avg("_D"), F.lit(1e-9)).alias("_w"))
+    qb = vax.join(bound, key + [spec.row_id]).join(width, key)
+    for i, c in enumerate(dims):
+        qb = qb.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.col("q" + c) - F.col("_D")) / F.col("_w")).cast("long"),
+                                                          F.floor((F.col("q" + c) + F.col("_D")) / F.col("_w")).cast("long"))))
+    tb = trx.join(tr.select(F.col(spec.row_id).alias("_tid"), *key, spec.target), key + ["_tid"]).join(width, key)
+    for i, c in enumerate(dims):
+        tb = tb.withColumn(f"_c{i}", F.floor(F.col("t" + c) / F.col("_w")).cast("long"))
+    cells = [f"_c{i}" for i in range(len(dims))]
+    inside = None
+    for c in dims:
+        cond = F.abs(F.col("q" + c) - F.col("t" + c)) <= F.col("_D")
+        inside = cond if inside is None else inside & cond
+    pairs = qb.drop("_w").join(tb.drop("_w"), key + cells).where(inside)
     pairs = pairs.withColumn("_d", F.sqrt(d2))
     top = pairs.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
     # (3) inverse-distance weights; exact matches take all weight
