@@ -245,61 +245,82 @@ def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame
 # k nearest neighbours (exact)
 # ------------------------------------------------------------------------------------
 
-def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15) -> DataFrame:
+def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, rings=(1, 3)) -> DataFrame:
     """Exact k-nearest-neighbour regression with inverse-distance weights (a
-    zero-distance neighbour takes all the weight), training rows = other folds.
-
-    No all-pairs join: (1) the k training rows nearest in the leading feature are found
-    by a 1-D merge of validation and training rows per context (bucketed running
-    count); their full distances give an upper bound D on the k-th neighbour distance;
-    (2) only training rows inside the box |x_i - q_i| <= D (first two features) can be
-    neighbours, found with an equi-join on grid cells; (3) exact distances, the k
-    nearest (ties -> training row id)."""
+    zero-distance neighbour takes all the weight; ties -> training row id), training
+    rows = the other folds of the environment.
+
+    No all-pairs join.  Training rows of each context go to a grid over the first one
+    or two features whose cell width holds about k rows on average.  (1) Each query
+    ranks the training rows of the (2r+1)^d cells around it; when at least k are found
+    and the k-th distance D stays inside that block of cells, the block contains every
+    row within D, so its top k is exact.  (2) Queries not settled by the largest ring
+    join the cells of their box |x_i - q_i| <= D (D from the ring, or from the
+    context's row count when the ring is short) -- still an equi-join on cells."""
     env, key = spec.env, [spec.env, FOLD_CTX]
-    lead = xcols[0]
-    tr = design.where(F.col("role") == "train").select(spec.row_id, *key, spec.target, *xcols)
-    va = design.where(F.col("role") == "valid").select(spec.row_id, *key, *xcols)
-    # (1) 1-D candidates: the k training rows before and after each validation row in
-    # leading-feature order (a union sorted by x1 inside each context).
-    u = (tr.select(spec.row_id, *key, lead, F.lit(1).alias("_is_tr"))
-         .unionByName(va.select(spec.row_id, *key, lead, F.lit(0).alias("_is_tr"))))
-    u = running_sum(u, key, [lead, "_is_tr", spec.row_id], "_is_tr", "_tr_seq")
-    q = u.where(F.col("_is_tr") == 0).select(spec.row_id, *key, "_tr_seq")
-    t = u.where(F.col("_is_tr") == 1).select(F.col(spec.row_id).alias("_tid"), *key, F.col("_tr_seq").alias("_tseq"))
-    near = q.select(spec.row_id, *key, F.explode(F.sequence(F.col("_tr_seq") - k + 1, F.col("_tr_seq") + k)).alias("_tseq"))
-    cand = near.join(t, key + ["_tseq"])
-    trx = tr.select(F.col(spec.row_id).alias("_tid"), *key, *[F.col(c).alias("t" + c) for c in xcols])
-    vax = va.select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
+    dims = xcols[:2]
+    trx = design.where(F.col("role") == "train").select(F.col(spec.row_id).alias("_tid"), *key, spec.target,
+                                                        *[F.col(c).alias("t" + c) for c in xcols])
+    vax = design.where(F.col("role") == "valid").select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
     d2 = None
     for c in xcols:
         term = (F.col("q" + c) - F.col("t" + c)) * (F.col("q" + c) - F.col("t" + c))
         d2 = term if d2 is None else d2 + term
-    c1 = cand.join(trx, key + ["_tid"]).join(vax, key + [spec.row_id]).withColumn("_d", F.sqrt(d2))
+    ext = trx.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
+                                *[(F.max("t" + c) - F.min("t" + c)).alias(f"_r{i}") for i, c in enumerate(dims)])
+    vol = None
+    for i in range(len(dims)):
+        r = F.greatest(F.col(f"_r{i}"), F.lit(1e-9))
+        vol = r if vol is None else vol * r
+    width = ext.select(*key, F.greatest(F.pow(F.lit(float(k)) * vol / F.col("_n"), F.lit(1.0 / len(dims))),
+                                        F.lit(1e-9)).alias("_w"))
+    cells = [f"_c{i}" for i in range(len(dims))]
+    tcell = trx.join(width, key)
+    for i, c in enumerate(dims):
+        tcell = tcell.withColumn(f"_c{i}", F.floor(F.col("t" + c) / F.col("_w")).cast("long"))
+    tcell = tcell.drop("_w")
     wk = Window.partitionBy(spec.row_id, *key).orderBy("_d", "_tid")
-    bound = (c1.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
-             .groupBy(spec.row_id, *key).agg(F.max("_d").alias("_D")))
-    # (2) exact pruning on a grid of the first one or two features: every true neighbour
-    # lies in the box |x_i - q_i| <= D; the cell width is the context's mean bound, so
-    # a box spans a few cells holding ~k*4/pi candidates on average.
-    dims = xcols[:2]
-    width = bound.groupBy(*key).agg(F.greatest(F.avg("_D"), F.lit(1e-9)).alias("_w"))
-    qb = vax.join(bound, key + [spec.row_id]).join(width, key)
+
+    def top_k(pairs):
+        return pairs.withColumn("_d", F.sqrt(d2)).withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= k)
+
+    q = vax.join(width, key)
     for i, c in enumerate(dims):
-        qb = qb.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.col("q" + c) - F.col("_D")) / F.col("_w")).cast("long"),
-                                                          F.floor((F.col("q" + c) + F.col("_D")) / F.col("_w")).cast("long"))))
-    tb = trx.join(tr.select(F.col(spec.row_id).alias("_tid"), *key, spec.target), key + ["_tid"]).join(width, key)
+        q = q.withColumn(f"_h{i}", F.floor(F.col("q" + c) / F.col("_w")).cast("long"))
+    settled, pending = None, q
+    for r in rings:
+        cand = pending
+        for i in range(len(dims)):
+            cand = cand.withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_h{i}") - r, F.col(f"_h{i}") + r)))
+        top = top_k(cand.join(tcell, key + cells))
+        stat = top.groupBy(spec.row_id, *key).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_d").alias("_D"))
+        chk = pending.join(stat, [spec.row_id] + key, "left")
+        covered = (F.col("_cnt") >= k)
+        for i, c in enumerate(dims):
+            covered = covered & (F.col("q" + c) - F.col("_D") >= (F.col(f"_h{i}") - r) * F.col("_w")) \
+                & (F.col("q" + c) + F.col("_D") < (F.col(f"_h{i}") + r + 1) * F.col("_w"))
+        chk = chk.withColumn("_ok", F.coalesce(covered, F.lit(False)))
+        done = top.join(chk.where("_ok").select(spec.row_id, *key), [spec.row_id] + key, "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        last = chk.where(~F.col("_ok")).select(*q.columns, "_D", "_cnt")
+        pending = last.select(*q.columns)
+    # (2) the rest: box join on cells; a short ring (< k rows) takes the context's extent
+    ext_d = ext.select(*key, F.sqrt(sum(F.col(f"_r{i}") * F.col(f"_r{i}") for i in range(len(dims)))).alias("_ext"))
+    rest = last.join(ext_d, key).withColumn(
+        "_D", F.when(F.col("_cnt") >= k, F.col("_D")).otherwise(F.col("_ext") + F.lit(1e-9)))
+    box = rest
     for i, c in enumerate(dims):
-        tb = tb.withColumn(f"_c{i}", F.floor(F.col("t" + c) / F.col("_w")).cast("long"))
-    cells = [f"_c{i}" for i in range(len(dims))]
+        box = box.withColumn(f"_c{i}", F.explode(F.sequence(
+            F.floor((F.col("q" + c) - F.col("_D")) / F.col("_w")).cast("long"),
+            F.floor((F.col("q" + c) + F.col("_D")) / F.col("_w")).cast("long"))))
     inside = None
     for c in dims:
         cond = F.abs(F.col("q" + c) - F.col("t" + c)) <= F.col("_D")
         inside = cond if inside is None else inside & cond
-    pairs = qb.drop("_w").join(tb.drop("_w"), key + cells).where(inside)
-    pairs = pairs.withColumn("_d", F.sqrt(d2))
-    top = pairs.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
-    # (3) inverse-distance weights; exact matches take all weight
-    agg = top.groupBy(spec.row_id, *key).agg(
+    late = top_k(box.drop("_cnt", "_ext").join(tcell, key + cells).where(inside))
+    cols = [spec.row_id, *key, "_tid", "_d", spec.target]
+    topall = settled.select(*cols).unionByName(late.select(*cols))
+    agg = topall.groupBy(spec.row_id, *key).agg(
         F.sum(F.when(F.col("_d") == 0, 1.0).otherwise(0.0)).alias("_nz"),
         F.sum(F.when(F.col("_d") == 0, F.col(spec.target)).otherwise(0.0)).alias("_zy"),
         F.sum(F.when(F.col("_d") > 0, 1.0 / F.col("_d")).otherwise(0.0)).alias("_sw"),
