@@ -261,7 +261,19 @@ def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, rings=
     dims = xcols[:2]
     trx = design.where(F.col("role") == "train").select(F.col(spec.row_id).alias("_tid"), *key, spec.target,
                                                         *[F.col(c).alias("t" + c) for c in xcols])
-    vax = design.where(F.col("role") == "valid").select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
+    # Only the k smallest row ids at one exact point can ever be chosen (ties -> id):
+    # keep those, with a salted two-level top-k so a point holding many rows is no
+    # hot group; queries are answered once per distinct point and joined back.
+    tcoords = ["t" + c for c in xcols]
+    t1 = (trx.withColumn("_s", F.pmod(F.hash("_tid"), F.lit(64)))
+          .withColumn("_r1", F.row_number().over(Window.partitionBy(*key, *tcoords, "_s").orderBy("_tid")))
+          .where(F.col("_r1") <= k))
+    trx = (t1.withColumn("_r2", F.row_number().over(Window.partitionBy(*key, *tcoords).orderBy("_tid")))
+           .where(F.col("_r2") <= k).drop("_s", "_r1", "_r2"))
+    va_rows = design.where(F.col("role") == "valid").select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
+    qcoords = ["q" + c for c in xcols]
+    vax = va_rows.select(*key, *qcoords).distinct().withColumn(  # one query per distinct point;
+        spec.row_id, F.concat_ws("|", *[F.col(c).cast("string") for c in qcoords]))  # exact, collision-free id
     d2 = None
     for c in xcols:
         term = (F.col("q" + c) - F.col("t" + c)) * (F.col("q" + c) - F.col("t" + c))
@@ -326,5 +338,6 @@ def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, rings=
         F.sum(F.when(F.col("_d") > 0, 1.0 / F.col("_d")).otherwise(0.0)).alias("_sw"),
         F.sum(F.when(F.col("_d") > 0, F.col(spec.target) / F.col("_d")).otherwise(0.0)).alias("_swy"))
     pred = F.when(F.col("_nz") > 0, F.col("_zy") / F.col("_nz")).otherwise(F.col("_swy") / F.col("_sw"))
-    return agg.select(spec.row_id, env, F.col(FOLD_CTX).alias("fold"), F.lit("knn_distance").alias("model"),
-                      pred.alias("y_pred"))
+    per_point = agg.join(vax, [spec.row_id] + key).select(*key, *qcoords, pred.alias("y_pred"))
+    out = va_rows.join(per_point, key + qcoords)
+    return out.select(spec.row_id, env, F.col(FOLD_CTX).alias("fold"), F.lit("knn_distance").alias("model"), "y_pred")
