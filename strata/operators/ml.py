@@ -160,7 +160,7 @@ def adaboost_r2(label="target", row_id="row_id", **preset):
                                                                           F.col("prediction").alias("pt")))
         long = reduce(lambda a, b: a.unionByName(b), cols)
         aw = F.array(*[F.lit(float(a)) for a in alphas])
-        long = long.withColumn("at", aw.getItem(F.col("t")))
+        long = long.withColumn("at", F.element_at(aw, F.col("t") + 1))
         ww = Window.partitionBy(row_id).orderBy("pt", "t")
         long = (long.withColumn("_cum", F.sum("at").over(ww.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn("_tot", F.sum("at").over(Window.partitionBy(row_id))))
