@@ -40,9 +40,44 @@ def wide_stats(stats: DataFrame, env: str, features) -> DataFrame:
     return stats.groupBy(env, FOLD_CTX).agg(*aggs)
 
 
+def categorical_levels(df: DataFrame, cat_cols) -> dict:
+    """Distinct levels per categorical column (column names of the one-hot design; a
+    handful of values per column, read once)."""
+    if not cat_cols:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(_q(c)).cast("string").alias("l"))
+                                         for c in cat_cols])).alias("kv")).select("kv.*").where(F.col("l").isNotNull())
+    out = {c: [] for c in cat_cols}
+    for r in long.distinct().orderBy("f", "l").collect():
+        out[r["f"]].append(r["l"])
+    return out
+
+
+def onehot_stats(df: DataFrame, spec: FeatureSpec, n_folds: int, levels: dict, fold: str = "fold") -> DataFrame:
+    """Per (env, k): the training mode of each categorical column (imputation) and a
+    0/1 flag per level seen in the imputed training column (T02 + T05 statistics)."""
+    from .prep import fit_mode, long_categorical
+    env = spec.env
+    lc = long_categorical(df, spec, extra=(fold,))
+    mode = fit_mode(lc, env, n_folds)
+    per_fold = lc.groupBy(env, fold, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
+    cred = per_fold.withColumn(FOLD_CTX, F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col(fold))))
+    seen = (cred.join(mode, [env, FOLD_CTX, "feature"]).select(env, FOLD_CTX, "feature",
+                                                              F.coalesce("level", "mode").alias("level")).distinct())
+    aggs = [F.max(F.when(F.col("feature") == f, F.col("mode"))).alias(f"mode__{f}") for f in levels]
+    m = mode.groupBy(env, FOLD_CTX).agg(*aggs)
+    flags = [F.max(F.when((F.col("feature") == f) & (F.col("level") == lv), F.lit(1.0))).alias(f"seen__{f}={lv}")
+             for f, lvs in levels.items() for lv in lvs]
+    sv = seen.groupBy(env, FOLD_CTX).agg(*flags)
+    return m.join(sv, [env, FOLD_CTX])
+
+
 def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fold",
-                stats: DataFrame | None = None, weight: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Rows x contexts with fold-fitted, scaled numeric features ``x__<name>``.
+                stats: DataFrame | None = None, weight: str | None = None,
+                levels: dict | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows x contexts with fold-fitted, scaled numeric features ``x__<name>`` and, when
+    ``levels`` is given, fold-fitted one-hot columns ``x__<cat>=<level>`` (missing ->
+    training mode; a level unseen in training -> all zeros).
 
     Returns (design, feature column names).  ``role`` is 'valid' when fold == k."""
     env = spec.env
@@ -59,9 +94,20 @@ def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fol
         imp = F.coalesce(F.col(f), F.col(f"median__{f}"))
         cap = F.greatest(F.col(f"lower__{f}"), F.least(F.col(f"upper__{f}"), imp))
         xs.append(((cap - F.col(f"center__{f}")) / F.col(f"scale__{f}")).alias(FEATURE_PREFIX + f))
+    names = [FEATURE_PREFIX + f for f in feats]
+    if levels:
+        oh = onehot_stats(df, spec, n_folds, levels, fold)
+        cats = df.select(spec.row_id, *[F.col(_q(c)).cast("string").alias(c) for c in levels])
+        j = j.join(cats, spec.row_id).join(oh, [env, FOLD_CTX], "left")
+        for f, lvs in levels.items():
+            imp = F.coalesce(F.col(f), F.col(f"mode__{f}"))
+            for lv in lvs:
+                hot = (imp == F.lit(lv)) & F.col(_q(f"seen__{f}={lv}")).isNotNull()
+                xs.append(F.when(hot, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{FEATURE_PREFIX}{f}={lv}"))
+                names.append(f"{FEATURE_PREFIX}{f}={lv}")
     role = F.when(F.col(fold) == F.col(FOLD_CTX), F.lit("valid")).otherwise(F.lit("train"))
     out = j.select(*base_cols, FOLD_CTX, role.alias("role"), *xs)
-    return out, [FEATURE_PREFIX + f for f in feats]
+    return out, names
 
 
 # ------------------------------------------------------------------------------------

@@ -27,7 +27,8 @@ def pooled_design(spark, sf):
     idx = cf.select(ENV).distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy(ENV)) - 1).cast("int"))
     n_env = idx.count()  # number of environments: a handful
     pooled = cf.join(idx, ENV).withColumnRenamed(ENV, "test_env").withColumn(ENV, F.lit(POOL))
-    d, xcols = models.design_rows(pooled, COMFORT_SPEC, n_env)
+    d, xcols = models.design_rows(pooled, COMFORT_SPEC, n_env,
+                                  levels=models.categorical_levels(pooled, COMFORT_SPEC.cat_cols))
     return d, xcols, idx.withColumnRenamed(ENV, "test_env"), n_env
 
 

@@ -32,9 +32,16 @@ oof AS (SELECT xt.row_id, xt.environment, xt.fold, xt.k, 'ols_' || xt.feature AS
 
 
 def design(spark, sf):
+    """Numeric design (fold-scaled features) -- the form the SQL oracles reproduce."""
     return models.design_rows(comfort_folds(spark, sf), SPEC, K)
 
 
+def design_full(spark, sf):
+    """Numeric + fold-fitted one-hot categorical design (learner input)."""
+    cf = comfort_folds(spark, sf)
+    return models.design_rows(cf, SPEC, K, levels=models.categorical_levels(cf, SPEC.cat_cols))
+
+
 def ols_oof(spark, sf):
     d, xcols = design(spark, sf)
     return models.single_feature_ols(d, SPEC, xcols)
@@ -49,7 +56,7 @@ def q_m01(spark, sf):
 
 
 def _gram_oof(spark, sf, learners):
-    d, xcols = design(spark, sf)
+    d, xcols = design_full(spark, sf)
     return models.oof_linear(d, SPEC, xcols, learners=learners)
 
 

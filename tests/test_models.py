@@ -83,3 +83,28 @@ def test_nnls_kkt(spark):
     assert np.all(grad[w == 0] >= -1e-7 * n)
     b, wn = stack.fit_nnls(sums, 4)
     assert wn.sum() == pytest.approx(1.0)
+
+
+def test_gram_ols_on_onehot_design_matches_numpy(spark):
+    from strata.operators import split
+    from strata.sources.tables import COMFORT_SPEC, comfort
+    from tests.conftest import SF_SMALL
+    cf = split.kfold(comfort(spark, SF_SMALL), n=5)
+    d, xcols = models.design_rows(cf, COMFORT_SPEC, 5, levels=models.categorical_levels(cf, COMFORT_SPEC.cat_cols))
+    assert any("=" in c for c in xcols)
+    oof = models.oof_linear(d, COMFORT_SPEC, xcols, {"ols": dict(kind="ols")})
+    env = d.select("environment").first()[0]
+    pdf = d.where((F.col("environment") == env) & (F.col("k") == 2)).toPandas()
+    tr, va = pdf[pdf.role == "train"], pdf[pdf.role == "valid"]
+    # one-hot rows of a fitted context sum to 1 per categorical feature (mode imputation)
+    for f in COMFORT_SPEC.cat_cols:
+        cols = [c for c in xcols if c.startswith(f"x__{f}=")]
+        assert (tr[cols].sum(axis=1) == 1.0).all()
+    x, y = tr[xcols].to_numpy(), tr["target"].to_numpy()
+    w = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=None)[0]
+    b = y.mean() - x.mean(0) @ w
+    want = dict(zip(va["row_id"], b + va[xcols].to_numpy() @ w))
+    got = {r.row_id: r.y_pred for r in oof.where((F.col("environment") == env) & (F.col("fold") == 2)).collect()}
+    assert set(got) == set(want)
+    for k_, v in want.items():
+        assert got[k_] == pytest.approx(v, rel=1e-6, abs=1e-6)
