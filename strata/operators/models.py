@@ -308,14 +308,11 @@ def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, rings=
     trx = design.where(F.col("role") == "train").select(F.col(spec.row_id).alias("_tid"), *key, spec.target,
                                                         *[F.col(c).alias("t" + c) for c in xcols])
     # Only the k smallest row ids at one exact point can ever be chosen (ties -> id):
-    # keep those, with a salted two-level top-k so a point holding many rows is no
-    # hot group; queries are answered once per distinct point and joined back.
+    # keep those.  ``row_number() <= k`` is planned as a partial WindowGroupLimit before
+    # the shuffle, so a point holding many rows ships at most k rows per map task.
     tcoords = ["t" + c for c in xcols]
-    t1 = (trx.withColumn("_s", F.pmod(F.hash("_tid"), F.lit(64)))
-          .withColumn("_r1", F.row_number().over(Window.partitionBy(*key, *tcoords, "_s").orderBy("_tid")))
-          .where(F.col("_r1") <= k))
-    trx = (t1.withColumn("_r2", F.row_number().over(Window.partitionBy(*key, *tcoords).orderBy("_tid")))
-           .where(F.col("_r2") <= k).drop("_s", "_r1", "_r2"))
+    trx = (trx.withColumn("_r", F.row_number().over(Window.partitionBy(*key, *tcoords).orderBy("_tid")))
+           .where(F.col("_r") <= k).drop("_r"))
     va_rows = design.where(F.col("role") == "valid").select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
     qcoords = ["q" + c for c in xcols]
     vax = va_rows.select(*key, *qcoords).distinct().withColumn(  # one query per distinct point;
