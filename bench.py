@@ -39,7 +39,8 @@ def main():
     from strata.plans.catalog import load_all
     from strata.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     reg = load_all()
     only = sys.argv[1:]
     names = [n for n in HEADLINE if n in reg and (not only or any(n.startswith(p) for p in only))]
