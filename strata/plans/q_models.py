@@ -31,14 +31,14 @@ oof AS (SELECT xt.row_id, xt.environment, xt.fold, xt.k, 'ols_' || xt.feature AS
         FROM xt JOIN fit USING (environment, k, feature) JOIN tg USING (row_id) WHERE xt.fold = xt.k)"""
 
 
-def design(spark, sf):
+def design(spark, sf, cf=None):
     """Numeric design (fold-scaled features) -- the form the SQL oracles reproduce."""
-    return models.design_rows(comfort_folds(spark, sf), SPEC, K)
+    return models.design_rows(comfort_folds(spark, sf) if cf is None else cf, SPEC, K)
 
 
-def design_full(spark, sf):
+def design_full(spark, sf, cf=None):
     """Numeric + fold-fitted one-hot categorical design (learner input)."""
-    cf = comfort_folds(spark, sf)
+    cf = comfort_folds(spark, sf) if cf is None else cf
     return models.design_rows(cf, SPEC, K, levels=models.categorical_levels(cf, SPEC.cat_cols))
 
 

@@ -87,12 +87,12 @@ class Scores:
     """The scoring pipeline of one run (shared by the R queries)."""
 
     def __init__(self, spark, sf):
-        cf = comfort_folds(spark, sf)
+        cf = comfort_folds(spark, sf).persist()  # shared by the univariate scores and the design
         self.u1 = score.univariate_r2(cf, ENV, "fold", "target", NUM, K).withColumn("score", r6("score", 12))
         self.u2 = score.eta_squared(cf, ENV, "fold", "target", CAT, K).withColumn("score", r6("score", 12))
         self.uall = self.u1.unionByName(self.u2)
         self.ur = score.minmax_rank(self.uall, [ENV, FOLD_CTX], out="u")
-        d, xcols = design(spark, sf)
+        d, xcols = design(spark, sf, cf)
         ols = models.single_feature_ols(d, COMFORT_SPEC, xcols).withColumnRenamed("fold", FOLD_CTX)
         preds = ols.select("row_id", ENV, FOLD_CTX, "model", "y_true", "y_pred")
         coefs = ols.select(ENV, FOLD_CTX, "model", F.col("feature").alias("own"), "slope").distinct()
