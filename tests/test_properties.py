@@ -117,3 +117,15 @@ def test_wilcoxon_against_brute_force(spark):
     z = (w - n * (n + 1) / 4.0) / math.sqrt(var)
     assert r.wilcoxon_stat == pytest.approx(w)
     assert r.p_raw == pytest.approx(normal_sf(z), rel=1e-12)
+
+
+def test_monotone_bucket_never_inverts_order(spark):
+    from strata.functions.quantiles import monotone_bucket
+    vals = sorted({0.0, -0.0, 5e-324, -5e-324, 1e-300, -1e-300, 1e300, -1e300, 1.0, -1.0, 2.0, 4.0, 8.0,
+                   2.0 - 1e-15, 4.0 - 1e-15, 1024.0, 1023.9999999999999, -2.0, -2.0000000000000004,
+                   0.1, 0.30000000000000004, 3.0, 1e-5, 123456789.0})
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for per_octave in (1, 16, 4096):
+        got = sorted(((r.v, r.b) for r in df.select("v", monotone_bucket("v", per_octave).alias("b")).collect()))
+        buckets = [b for _, b in got]
+        assert buckets == sorted(buckets), per_octave
