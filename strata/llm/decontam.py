@@ -126,36 +126,21 @@ class _Table:
         return merged, items
 
 
-_FOUND = "id long, digest binary, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+_OUT = {"digest": "binary", "n_words": "bigint", "spans": _SPANS, "items": "array<string>"}
 
 
 def _match(table: _Table):
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: pa.Array) -> list[pa.Array]:
         n, spans, items, digests = [], [], [], []
-        for data in tx.utf8(batch.column("text")):
+        for data in tx.utf8(texts):
             words = tx.alnum_words(data)
             found, of = table.match(words)
             n.append(len(words)), spans.append([{"start": a, "end": b} for a, b in found]), items.append(sorted(of))
             digests.append(xxhash.xxh3_128_digest(data))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)),
-                                           pa.array(items, pa.list_(pa.string()))], ["id", "digest", "n_words", "spans", "items"])
-    return tx.by_slices(one)
-
-
-def _finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Hit words and items over the spans of all tables."""
-    hits, n_items, digests = [], [], []
-    for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-        hit, reach = 0, 0
-        for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
-            hit += max(0, b - max(a, reach))
-            reach = max(reach, b)
-        own = sorted(set(items or ()))
-        hits.append(hit), n_items.append(len(own)), digests.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-    keep = ["id", "n_words", "spans"]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())],
-                                      [*keep, "n_hit", "n_items", "items_sha256"])
+        return [pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
+    return run
 
 
 def _tables(benchmark: DataFrame, item_col: str, text_col: str):
@@ -168,41 +153,46 @@ def _tables(benchmark: DataFrame, item_col: str, text_col: str):
             held, words = [], 0
         held.append((r[0], own))
         words += len(own)
-    if held:
-        yield _Table(held)
+    yield _Table(held)
 
 
 def _with(found: DataFrame, more: DataFrame) -> DataFrame:
-    """Add the hits of a further table; equal rows have equal hits, so they meet by id and text digest."""
-    hits = (more.where("size(items) > 0").select("id", "digest", F.col("spans").alias("s2"), F.col("items").alias("i2")).dropDuplicates(["id", "digest"]))
-    on = found.id.eqNullSafe(hits.id) & (found.digest == hits.digest)
-    return found.join(hits, on, "left").select(found.id, found.digest, "n_words", F.expr("concat(spans, coalesce(s2, array())) as spans"), F.expr("concat(items, coalesce(i2, array())) as items"))
+    """Add the hits of a further table; equal texts have equal hits, so they meet by digest."""
+    hits = more.where("size(items) > 0").select("digest", F.col("spans").alias("s2"), F.col("items").alias("i2")).dropDuplicates(["digest"])
+    return (found.join(hits, "digest", "left").withColumns({"spans": F.expr("concat(spans, coalesce(s2, array()))"), "items": F.expr("concat(items, coalesce(i2, array()))")})
+            .drop("s2", "i2"))
+
+
+_HIT = """aggregate(array_sort(spans), named_struct('reach', 0L, 'hit', 0L), (a, s) -> named_struct(
+    'reach', greatest(a.reach, s.end), 'hit', a.hit + greatest(0L, s.end - greatest(a.reach, s.start))), a -> a.hit)"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and spans.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
     lower-cased.  A document word inside any occurrence of an item window is hit;
     contaminated means n_hit > 0 and 20 * n_hit >= n_words; spans are the hit word ranges,
     end exclusive.  Null and empty texts have no words and no hits; items with a null id or
     no words match nothing; equal windows count for every item that has them.  Repeated
-    rows are returned each, a null id stays null, other columns are ignored.  An empty
-    benchmark hits nothing; empty documents give an empty result.
+    rows are returned each and other columns pass through (columns named like an output
+    are replaced).  An empty benchmark hits nothing; empty documents give an empty result.
 
     The benchmark is cut into probe tables of at most ``TABLE_WORDS`` words, so what a task
     holds is bounded; further tables cost a scan each.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     found = None
     for t in _tables(benchmark, item_col, item_text_col):
-        counted = source.select("text").mapInArrow(_count(t.wanted()), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        # at most one row per shingle of the bounded table
-        t.sign({r["shingle"] % 2**64: r["n"] for r in counted.collect()})
-        own = source.mapInArrow(_match(t), _FOUND)
-        found = own if found is None else _with(found, own)
-    if found is None:
-        found = source.mapInArrow(_match(_Table([])), _FOUND)
-    done = found.mapInArrow(tx.by_slices(_finish), "id long, n_words long, spans array<struct<start:bigint,end:bigint>>, n_hit long, n_items long, items_sha256 string")
-    return done.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"), "spans")
+        if t.windows:
+            counted = texts.mapInArrow(_count(t.wanted()), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+            # at most one row per shingle of the bounded table
+            t.sign({r["shingle"] % 2**64: r["n"] for r in counted.collect()})
+        if found is None:
+            found = tx.mapped(docs.drop("s2", "i2"), text_col, _match(t), _OUT, keep_text)
+        else:
+            found = _with(found, tx.mapped(texts, "text", _match(t), _OUT, False))
+    return (found.withColumn("items", F.expr("array_sort(array_distinct(items))"))
+            .withColumns({"n_hit": F.expr(_HIT), "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
+            .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")).drop("digest", "items"))

@@ -143,13 +143,13 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
-def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _scan(texts: pa.Array) -> list[pa.Array]:
     spans, clean = [], []
-    for text in batch.column("text").to_pylist():
+    for text in texts.to_pylist():
         found = find(text or "")
         spans.append([dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in found])
-        clean.append(redact(text, found) if text and found else text)
-    return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(spans, pa.list_(_SPAN)), pa.array(clean, pa.string())], ["row", "text", "spans", "redacted"])
+        clean.append(redact(text, found) if found else text)
+    return [pa.array(spans, pa.list_(_SPAN)), pa.array(clean, pa.string())]
 
 
 def personal_data(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans", redacted_col: str = "redacted") -> DataFrame:
@@ -160,12 +160,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", spans_col: str = "pii
     rows, null ids and other columns pass through; an empty table gives an empty result.
     Columns named like the two outputs are replaced.
     """
-    kept = [c for c in docs.columns if c not in (spans_col, redacted_col)]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text_col)).alias("row") if len(kept) > 1 else F.struct(F.lit(0).alias("c")).alias("row"),
-                         F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = packed.mapInArrow(tx.by_slices(_scan), f"row {packed.schema['row'].dataType.simpleString()}, text string, spans {_SPANS}, redacted string")
-    return found.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)),
-                        F.col("spans").alias(spans_col), F.col("redacted").alias(redacted_col))
+    return tx.mapped(docs, text_col, _scan, {spans_col: _SPANS, redacted_col: "string"})
 
 
 def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:

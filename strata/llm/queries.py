@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, pii
+from . import decontam, jaccard, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +24,15 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False).drop("spans")
 
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
   FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
@@ -44,8 +49,8 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP
 """
 
 OP10_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^ -/:-`{-]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '[^ -/:-`{-]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS s
   FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0),
@@ -62,5 +67,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op7_pii, op9_ngram_jaccard, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_quality, op7_pii, op9_ngram_jaccard, op10_decontamination)}
 ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op10_decontamination": OP10_SQL}

@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Texts that a task unpacks at a time; a batch from Spark may hold thousands of long ones.
 ROWS = 256
@@ -57,3 +60,25 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
     return out
+
+
+def mapped(docs: DataFrame, text_col: str, fn: Callable[[pa.Array], list[pa.Array]], outputs: dict[str, str], keep_text: bool = True) -> DataFrame:
+    """``docs`` with further columns that ``fn`` computes from slices of the text column.
+
+    Other columns pass through in one struct, whatever their names and types; a column
+    named like an output is replaced by it.
+    """
+    kept = [c for c in docs.columns if c not in outputs]
+    rest = [c for c in kept if c != text_col]
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]
+    packed = docs.select(F.struct(*fields).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    names = [f"o{i}" for i in range(len(outputs))]
+    schema = T.StructType([packed.schema["row"], *[packed.schema["text"]] * keep_text, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(names, outputs.values(), strict=True))])
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column("text")
+        return pa.RecordBatch.from_arrays([batch.column("row"), *[text] * keep_text, *fn(text)], ["row", *["text"] * keep_text, *names])
+
+    found = packed.mapInArrow(by_slices(one), schema)
+    return found.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.c{rest.index(c)}").alias(c) for c in kept if keep_text or c != text_col),
+                        *(F.col(n).alias(c) for n, c in zip(names, outputs, strict=True)))
