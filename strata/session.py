@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -67,3 +68,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a few plain columns that a broadcast may hold (tens of MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to hold at most ``rows`` narrow rows; unmarked beyond.
+
+    The planner's estimate of an aggregate comes from its fact table, so without the count
+    a small table would be joined by shuffling the large one.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
