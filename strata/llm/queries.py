@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, pii, quality
+from . import decontam, jaccard, pii, quality, spm, tokcount, toxicity
+
+# The public vocabulary that the registered queries use; the operators take any path.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the vocabulary's scores read as unigram scores."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokcount.token_counts(docs, spm.read_model(spark, VOCABULARY), keep_text=False)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(table(spark, sf_dir, "documents"), spm.read_model(spark, VOCABULARY))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,5 +84,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality, op7_pii, op9_ngram_jaccard, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality, op5_sentencepiece, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_decontamination)}
 ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op10_decontamination": OP10_SQL}
