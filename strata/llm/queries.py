@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, jaccard, pii, quality, spm, tokcount, toxicity
+from . import ann, decontam, jaccard, pii, prefs, quality, secret_scan, spm, tokcount, toxicity
 
 # The public vocabulary that the registered queries use; the operators take any path.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts under the vocabulary's scores read as unigram scores."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,10 +29,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against the same one with its neighbour's last answer; masks as start:end lists."""
+    pairs = prefs.preference_pairs(*prefs.with_neighbours_answers(table(spark, sf_dir, "conversations")))
+    flat = lambda c: F.expr(f"array_join(transform({c}, m -> concat(m.start, ':', m.end)), ',')")
+    return pairs.withColumns({c: flat(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), spm.read_model(spark, VOCABULARY))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates with the forest's verdict; the vocabulary's whole words are the dictionary."""
+    pieces = spm.parse(spm.read_model(spark, VOCABULARY)).pieces
+    words = sorted({w for p in pieces if p.type == spm.NORMAL and len(w := p.piece.lstrip(spm.MARK).lower()) >= 4 and w.isalpha()})
+    return secret_scan.scan(table(spark, sf_dir, "documents"), tuple(words), path_col="source")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -47,6 +66,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4_SQL = r"""
+WITH own AS (SELECT DISTINCT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT pair_id, max(turn) AS last FROM own WHERE role = 'assistant' GROUP BY pair_id),
+answers AS (
+  SELECT pair_id, last, max(text) AS answer FROM own JOIN last USING (pair_id) WHERE role = 'assistant' AND turn = last GROUP BY pair_id, last),
+sides AS (
+  SELECT 'c' AS side, pair_id, turn, role, text FROM own LEFT JOIN last USING (pair_id) WHERE last IS NULL OR turn <= last
+  UNION ALL SELECT 'r', pair_id, turn, role, text FROM own JOIN last USING (pair_id) WHERE turn < last
+  UNION ALL SELECT 'r', a.pair_id, a.last, 'assistant', b.answer FROM answers a JOIN answers b ON b.pair_id = xor(a.pair_id, 1)),
+plain AS (
+  SELECT DISTINCT side, pair_id, turn, replace(coalesce(role, ''), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM sides),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, role, text) AS pos,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS part FROM plain),
+c AS (SELECT * FROM turns WHERE side = 'c'), r AS (SELECT * FROM turns WHERE side = 'r'),
+prefix AS (
+  SELECT pair_id, coalesce(min(CASE WHEN c.turn IS DISTINCT FROM r.turn OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text THEN pos END) - 1, count(*)) AS n
+  FROM c FULL JOIN r USING (pair_id, pos) GROUP BY pair_id),
+placed AS (
+  SELECT t.*, n, sum(length(part)) OVER (PARTITION BY side, pair_id, pos > n ORDER BY pos) - length(part) + 13 + length(role) AS opens
+  FROM turns t JOIN prefix USING (pair_id)),
+done AS (
+  SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
+    coalesce(string_agg(part, '' ORDER BY pos) FILTER (side = 'c' AND pos <= n), '') AS prompt,
+    coalesce(string_agg(part, '' ORDER BY pos) FILTER (side = 'c' AND pos > n), '') AS chosen,
+    coalesce(string_agg(part, '' ORDER BY pos) FILTER (side = 'r' AND pos > n), '') AS rejected,
+    coalesce(string_agg(opens || ':' || (opens + length(text) + 10), ',' ORDER BY pos) FILTER (side = 'c' AND pos > n AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg(opens || ':' || (opens + length(text) + 10), ',' ORDER BY pos) FILTER (side = 'r' AND pos > n AND role = 'assistant'), '') AS rejected_mask
+  FROM placed GROUP BY pair_id, n)
+SELECT *, chosen_mask <> '' AND rejected_mask <> '' AS usable FROM done
+"""
+
 OP9_SQL = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -84,5 +135,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality, op5_sentencepiece, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_decontamination)}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op2_token_counts, op3_quality, op4_preferences, op5_sentencepiece, op6_secrets, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_decontamination)}
+ORACLES: dict[str, str] = {"op4_preferences": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_decontamination": OP10_SQL}
