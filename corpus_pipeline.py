@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, jaccard, pii, quality, spm
+from strata.llm.text import same_columns
 from strata.session import staged
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,13 +32,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     firsts = jaccard.near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(firsts, "doc_id", "left_semi").withColumn("__place", place).where("__place = 1").drop("__place")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return same_columns(kept, docs).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(*docs.columns)
+    return same_columns(found.where("not contaminated"), docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.personal_data(docs).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return same_columns(found, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,4 +179,4 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x = np.array([statistics(d) for d in tx.utf8(texts)], float).reshape(len(texts), -1)
         return [pa.array(model.score(x) >= 0.5, pa.bool_())]
 
-    return tx.mapped(docs, text_col, keep, {"__kept": "boolean"}).where("__kept").drop("__kept").select(*docs.columns)
+    return tx.same_columns(tx.mapped(docs, text_col, keep, {"__kept": "boolean"}).where("__kept"), docs)

@@ -62,6 +62,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def same_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``rows``, whatever their names."""
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def mapped(docs: DataFrame, text_col: str, fn: Callable[[pa.Array], list[pa.Array]], outputs: dict[str, str], keep_text: bool = True) -> DataFrame:
     """``docs`` with further columns that ``fn`` computes from slices of the text column.
 
