@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, split, stack
+from ..operators import metrics, shards, split, stack
 from ..sources.tables import PREDICTIONS_SQL, comfort, predictions, with_sql
 from . import sqlgen
 from .catalog import register
@@ -28,6 +28,19 @@ def _cv(spark, sf, methods):
     return stack.stacker_cv(base_wide(spark, sf), stack_folds(spark, sf), PCOLS, methods=methods)
 
 
+def boosted_stack(spark, sf):
+    """Stacked rows of the boosted-tree blender, in the form of ``stack.stacker_cv``."""
+    wide = base_wide(spark, sf).join(stack_folds(spark, sf), ["row_id", ENV])
+    d = (wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+         .withColumn("role", F.when(F.col("fold") == F.col("k"), "valid").otherwise("train")))
+    out = shards.fit_predict(d, PCOLS, ["gbt_stack"], (ENV, "rep", "k"), target="y_true")
+    return out.select("row_id", ENV, "rep", F.col("k").alias("fold"), F.lit("gbt").alias("method"), "y_true", F.col("y_pred").alias("y_stack"))
+
+
+def _all_stackers(spark, sf):
+    return _cv(spark, sf, ("nnls", "ridge", "avg")).unionByName(boosted_stack(spark, sf))
+
+
 @register("B01_blend_ridge")
 def q_b01(spark, sf):
     """Ridge blender (z-scored columns, alpha by inner CV): stacked OOF predictions."""
@@ -50,12 +63,12 @@ def q_b03(spark, sf):
 
 @register("B05_evaluate_stackers")
 def q_b05(spark, sf):
-    return stack.evaluate_stackers(_cv(spark, sf, ("nnls", "ridge", "avg")))
+    return stack.evaluate_stackers(_all_stackers(spark, sf))
 
 
 @register("B06_auto_select_stacker")
 def q_b06(spark, sf):
-    return stack.auto_select(stack.evaluate_stackers(_cv(spark, sf, ("nnls", "ridge", "avg"))))
+    return stack.auto_select(stack.evaluate_stackers(_all_stackers(spark, sf)))
 
 
 _BASE_SQL = PREDICTIONS_SQL + f""",
