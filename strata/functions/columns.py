@@ -68,8 +68,8 @@ def safe_suffix(value: str) -> str:
 
 
 def norm_name(name: str) -> str:
-    """Normalised column name for exclusion matching: lower case, no blanks or dots."""
-    return "".join(ch for ch in str(name).lower() if ch not in " ._")
+    """The letters and digits of a column name, in lower case."""
+    return "".join(ch for ch in str(name).lower() if ch.isalnum())
 
 
 def _sql_ident(name: str) -> str:

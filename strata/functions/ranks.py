@@ -59,18 +59,3 @@ def small_group_average_rank(df: DataFrame, keys, value: str, out: str = "avg_ra
     wt = Window.partitionBy(*keys, value)
     return df.withColumn(out, F.rank().over(w).cast("double")
                          + (F.count(F.lit(1)).over(wt).cast("double") - F.lit(1.0)) / F.lit(2.0))
-
-
-def running_sum(df: DataFrame, keys, order_cols, value: str, out: str, per_octave: int = 4096) -> DataFrame:
-    """``sum(value) OVER (PARTITION BY keys ORDER BY order_cols ROWS UNBOUNDED PRECEDING)``
-    computed per monotone sub-bucket of the first (double) order column plus the
-    totals of earlier sub-buckets."""
-    keys = list(keys)
-    unb = Window.unboundedPreceding
-    d = df.withColumn("_b", monotone_bucket(order_cols[0], per_octave))
-    wl = Window.partitionBy(*keys, "_b").orderBy(*order_cols).rowsBetween(unb, 0)
-    d = d.withColumn("_loc", F.sum(value).over(wl))
-    sizes = d.groupBy(*keys, "_b").agg(F.sum(value).alias("_bs"))
-    wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(unb, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bs").over(wo), F.lit(0))).drop("_bs")
-    return d.join(offsets, keys + ["_b"]).withColumn(out, F.col("_off") + F.col("_loc")).drop("_b", "_loc", "_off")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats, stats_table
 from ..functions.columns import classify3, clip, to_class
 from ..functions.quantiles import pivot_quantiles, quantiles_from_counts, value_counts
 
@@ -150,17 +151,15 @@ def macro_prf(conf: DataFrame, keys) -> DataFrame:
         F.avg("p").alias("Precision_macro"), F.avg("r").alias("Recall_macro"), F.avg("f").alias("F1_macro"))
 
 
-def fold_average(df: DataFrame, keys, fold="fold", y_true="y_true", y_pred="y_pred", tol=0.5) -> DataFrame:
-    """Metrics per fold averaged over folds, plus train accuracy (rows outside the
-    fold; additive: total hits - fold hits) averaged over folds."""
+def fold_average(df: DataFrame, keys, fold="fold", y_true="y_true", y_pred="y_pred", tol=0.5, role="role") -> DataFrame:
+    """Metrics of each fold's held-out rows averaged over folds, plus the accuracy of
+    each fold's model on its own training rows (``role`` 'train'), averaged likewise.
+    A fold without training rows has no train accuracy."""
     keys = list(keys)
-    per = regression_metrics(df, keys + [fold], y_true, y_pred, tol)
+    per = regression_metrics(df.where(F.col(role) == "valid"), keys + [fold], y_true, y_pred, tol)
     hit = (F.abs(F.col(y_true) - F.col(y_pred)) <= F.lit(tol)).cast("double")
-    fh = df.groupBy(*keys, fold).agg(F.sum(hit).alias("_h"), F.count(F.lit(1)).alias("_c"))
-    tot = F.sum("_h").over(Window.partitionBy(*keys))
-    cnt = F.sum("_c").over(Window.partitionBy(*keys))
-    fh = fh.withColumn("_train_acc", (tot - F.col("_h")) / (cnt - F.col("_c")))
-    j = per.join(fh.select(*keys, fold, "_train_acc"), keys + [fold])
+    train = df.where(F.col(role) == "train").groupBy(*keys, fold).agg(F.avg(hit).alias("_train_acc"))
+    j = per.join(train, keys + [fold], "left")
     return j.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in REG_METRICS],
                                 F.avg("_train_acc").alias("Train_Accuracy"))
 
@@ -182,7 +181,8 @@ def residual_by_class(df: DataFrame, keys, y_true="y_true", y_pred="y_pred", per
     q = pivot_quantiles(quantiles_from_counts(value_counts(r, gk, "resid"), gk, [0.25, 0.5, 0.75],
                                               per_octave=per_octave), gk, {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
-    w = (r.join(q, gk).groupBy(*gk).agg(
+    q = stats_table(q)
+    w = (join_stats(r, q, gk).groupBy(*gk).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("resid") >= F.col("q1") - 1.5 * iqr, F.col("resid"))).alias("whisker_lo"),
         F.max(F.when(F.col("resid") <= F.col("q3") + 1.5 * iqr, F.col("resid"))).alias("whisker_hi")))
@@ -199,7 +199,8 @@ def error_histogram(df: DataFrame, keys, bins=20, y_true="y_true", y_pred="y_pre
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("err") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins)))))
-    h = e.join(rng, keys).withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    rng = stats_table(rng)
+    h = join_stats(e, rng, keys).withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = rng.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return (grid.join(h, keys + ["bin"], "left").fillna(0, subset=["n"])
             .select(*keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
@@ -217,7 +218,8 @@ def error_center(df: DataFrame, keys, y_true="y_true", y_pred="y_pred", per_octa
 
 def pred_vs_observed(df: DataFrame, keys, y_true="y_true", y_pred="y_pred") -> DataFrame:
     """Finite pairs clipped to [-3, 3] and their RMSE / MAE / R2 labels."""
-    ok = (F.col(y_true).isNotNull() & F.col(y_pred).isNotNull() & ~F.isnan(y_true) & ~F.isnan(y_pred))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    ok = finite(y_true) & finite(y_pred)
     c = df.where(ok).select(*keys, clip(y_true, -3, 3).alias("obs"), clip(y_pred, -3, 3).alias("pred"))
     m = regression_metrics(c, keys, "obs", "pred")
     return m.select(*keys, "RMSE", "MAE", "R2")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
-from ..functions.ranks import running_sum
+from ..functions.joins import join_stats
 from .prep import FOLD_CTX, fit_numeric, long_numeric
 
 FEATURE_PREFIX = "x__"
@@ -88,7 +88,7 @@ def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fol
     base_cols = [spec.row_id, env, fold, spec.target] + ([weight] if weight else [])
     rows = df.select(*base_cols, *[F.col(_q(f)).cast("double").alias(f) for f in feats])
     rows = rows.withColumn(FOLD_CTX, F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    j = rows.join(ws, [env, FOLD_CTX])
+    j = join_stats(rows, ws, [env, FOLD_CTX])
     xs = []
     for f in feats:
         imp = F.coalesce(F.col(f), F.col(f"median__{f}"))
@@ -98,7 +98,7 @@ def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fol
     if levels:
         oh = onehot_stats(df, spec, n_folds, levels, fold)
         cats = df.select(spec.row_id, *[F.col(_q(c)).cast("string").alias(c) for c in levels])
-        j = j.join(cats, spec.row_id).join(oh, [env, FOLD_CTX], "left")
+        j = j.join(cats, spec.row_id).transform(lambda d: join_stats(d, oh, [env, FOLD_CTX], "left"))
         for f, lvs in levels.items():
             imp = F.coalesce(F.col(f), F.col(f"mode__{f}"))
             for lv in lvs:
@@ -153,9 +153,9 @@ def _coordinate_descent(cxx, cxy, n, l1_pen, l2_pen, tol=1e-12, max_iter=100000)
             new = np.sign(rho) * max(abs(rho) - n * l1_pen, 0.0) / (cxx[j, j] + n * l2_pen)
             delta = max(delta, abs(new - w[j]))
             w[j] = new
-        if delta < tol:
-            break
-    return w
+        if delta < tol * max(1.0, float(np.abs(w).max(initial=0.0))):
+            return w
+    raise ArithmeticError(f"coordinate descent did not converge in {max_iter} sweeps (last step {delta:g})")
 
 
 def solve_linear(row, p: int, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5, active=None):
@@ -242,7 +242,7 @@ def coef_columns(coefs: DataFrame, xcols) -> DataFrame:
 def predict_linear(design: DataFrame, coefs: DataFrame, keys, xcols, out: str = "y_pred") -> DataFrame:
     """Score design rows with the coefficients of their context (small table join)."""
     cw = coef_columns(coefs, xcols)
-    j = design.join(cw, list(keys))
+    j = join_stats(design, cw, keys)
     expr = F.col("intercept")
     for c in xcols:
         expr = expr + F.col(f"w__{c}") * F.col(c)

@@ -17,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats, stats_table
 from ..functions.quantiles import pivot_quantiles, quantiles_from_counts
+from ..session import bounded
 from ..spec import FeatureSpec
+from .clean import clean_strings, numeric_if_all_parse
 
 FOLD_CTX = "k"
 
@@ -105,10 +108,9 @@ def fit_numeric(long: DataFrame, env: str, n_folds: int | None, per_octave=4096)
 
 
 def small_table(df: DataFrame) -> DataFrame:
-    """Materialise a small statistics table in the shared checkpoint folder (reliable
-    checkpoint: survives executor loss, cuts the lineage of dependent passes)."""
-    from ..session import cut_lineage
-    return cut_lineage(df)
+    """Materialise a small statistics table in the shared folder; it cuts the lineage of
+    dependent passes, and later joins see its true size."""
+    return stats_table(df)
 
 
 def apply_numeric(long: DataFrame, stats: DataFrame, env: str, n_folds: int | None,
@@ -117,10 +119,10 @@ def apply_numeric(long: DataFrame, stats: DataFrame, env: str, n_folds: int | No
     ``ctx_col`` names the column holding the context fold of each row (``fold`` =
     validation view: each row transformed by the preprocessor that did not see it)."""
     if n_folds is None:
-        j = long.join(stats, [env, "feature"], "left")
+        j = join_stats(long, stats, [env, "feature"], "left")
     else:
         st = stats.withColumnRenamed(FOLD_CTX, ctx_col)
-        j = long.join(st, [env, ctx_col, "feature"], "left")
+        j = join_stats(long, st, [env, ctx_col, "feature"], "left")
     imputed = F.coalesce(F.col("value"), F.col("median"))
     capped = F.greatest(F.col("lower"), F.least(F.col("upper"), imputed))
     return j.withColumn("imputed", imputed).withColumn("capped", capped) \
@@ -155,9 +157,9 @@ def one_hot(long_cat: DataFrame, mode: DataFrame, levels: DataFrame, env: str, n
         jk = [env, ctx_col, "feature"]
         m = mode.withColumnRenamed(FOLD_CTX, ctx_col)
         lv = levels.withColumnRenamed(FOLD_CTX, ctx_col)
-    rows = long_cat.join(m, jk, "left").withColumn("imputed", F.coalesce("level", "mode"))
+    rows = join_stats(long_cat, m, jk, "left").withColumn("imputed", F.coalesce("level", "mode"))
     lv = lv.withColumnRenamed("level", "train_level")
-    return (rows.join(lv, jk)
+    return (join_stats(rows, lv, jk)
             .withColumn("hot", (F.col("imputed") == F.col("train_level")).cast("int"))
             .select(*[c for c in rows.columns if c not in ("mode",)], "train_level", "level_index", "hot"))
 
@@ -169,16 +171,30 @@ def category_codes(df: DataFrame, env: str, cols) -> DataFrame:
     for c in cols:
         lv = (df.where(F.col(_q(c)).isNotNull()).select(env, F.col(_q(c)).cast("string").alias("_lv")).distinct())
         lv = lv.withColumn("_code", (F.dense_rank().over(Window.partitionBy(env).orderBy("_lv")) - 1).cast("int"))
-        out = (out.withColumn("_lv", F.col(_q(c)).cast("string")).join(lv, [env, "_lv"], "left")
+        out = (out.withColumn("_lv", F.col(_q(c)).cast("string")).join(bounded(lv), [env, "_lv"], "left")
                .withColumn(f"{c}_code", F.coalesce("_code", F.lit(-1))).drop("_lv", "_code"))
     return out
 
 
+def clean_features(df: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, FeatureSpec]:
+    """The cleaning step of T08: text-typed numeric columns are cleaned (F01) and become
+    numeric where every value parses (F03); the others count as categorical."""
+    types = dict(df.dtypes)
+    texts = [c for c in spec.num_cols if types[c] == "string"]
+    if not texts:
+        return df, spec
+    out, _ = numeric_if_all_parse(clean_strings(df, texts), texts)
+    types = dict(out.dtypes)
+    left = [c for c in texts if types[c] == "string"]
+    return out, spec.with_features([c for c in spec.num_cols if c not in left], [*spec.cat_cols, *left])
+
+
 def preprocess_global(df: DataFrame, spec: FeatureSpec, per_octave=4096) -> DataFrame:
-    """One context per environment: impute -> cap -> scale numerics, impute -> code
+    """One context per environment: clean -> impute -> cap -> scale numerics, impute -> code
     categoricals.  Long output ``(row_id, env, feature, original, scaled, level)`` where
     ``original`` is the imputed+capped value (the reference's unscaled copy)."""
     env = spec.env
+    df, spec = clean_features(df, spec)
     ln = long_numeric(df, spec, extra=())
     stats = fit_numeric(ln, env, None, per_octave)
     num = apply_numeric(ln, stats, env, None).select(

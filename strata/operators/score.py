@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats
 from ..functions.quantiles import monotone_bucket
 from ..functions.ranks import salted_row_number
 from .prep import FOLD_CTX
@@ -31,7 +32,7 @@ def univariate_r2(df: DataFrame, env: str, fold: str, target: str, num_cols, n_f
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in num_cols])).alias("kv")) \
         .select(env, fold, "y", "kv.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
     centre = long.groupBy(env, "feature").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    lc = long.join(centre, [env, "feature"]).select(env, fold, "feature", (F.col("x") - F.col("cx")).alias("x"),
+    lc = join_stats(long, centre, [env, "feature"]).select(env, fold, "feature", (F.col("x") - F.col("cx")).alias("x"),
                                                     (F.col("y") - F.col("cy")).alias("y"), F.col("x").alias("rx"),
                                                     F.col("y").alias("ry"))
     per = lc.groupBy(env, fold, "feature").agg(
@@ -57,7 +58,7 @@ def eta_squared(df: DataFrame, env: str, fold: str, target: str, cat_cols, n_fol
         F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("level"))
         for c in cat_cols])).alias("kv")).select(env, fold, "y", "kv.*").where(F.col("y").isNotNull())
     centre = long.groupBy(env).agg(F.avg("y").alias("cy"))
-    lc = long.join(centre, env).withColumn("y", F.col("y") - F.col("cy"))
+    lc = join_stats(long, centre, [env]).withColumn("y", F.col("y") - F.col("cy"))
     per = lc.groupBy(env, fold, "feature", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"),
                                                         F.sum(F.col("y") * F.col("y")).alias("ss"))
     tr = _credit(per, n_folds, fold).groupBy(env, FOLD_CTX, "feature", "level").agg(
@@ -93,9 +94,10 @@ def permutation_values(valid: DataFrame, row_id: str, keys, features, repeats: i
         .select(row_id, *keys, "kv.*")
     long = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     gk = list(keys) + ["feature", "rep"]
-    a = long.withColumn("_ik", F.lpad(F.hex(F.col(row_id)), 16, "0"))
-    a = salted_row_number(a, gk, "_ik", row_id, out="_pos",
-                          bucket=monotone_bucket(F.col(row_id).cast("double"), 256))
+    # an order-preserving bucket of the id in its own type
+    text = dict(valid.dtypes)[row_id] == "string"
+    bucket = F.conv(F.substring(F.hex(F.col(row_id)), 1, 4), 16, 10).cast("int") if text else monotone_bucket(F.col(row_id).cast("double"), 256)
+    a = salted_row_number(long, gk, row_id, row_id, out="_pos", bucket=bucket)
     b = long.withColumn("_pk", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("rep").cast("string"),
                                                    F.col(row_id).cast("string"))))
     b = salted_row_number(b, gk, "_pk", row_id, out="_pos").select(*gk, "_pos", F.col("x").alias("x_perm"))
@@ -110,7 +112,7 @@ def permutation_importance(preds: DataFrame, weights: DataFrame, perm: DataFrame
     y_pred); ``weights``: (keys, model, feature, w)."""
     keys = list(keys)
     base = _rma(preds, keys + ["model"], y_true, "y_pred", tol)
-    j = (preds.join(weights, keys + ["model"]).join(perm, [row_id] + keys + ["feature"])
+    j = (join_stats(preds, weights, keys + ["model"]).join(perm, [row_id] + keys + ["feature"])
          .withColumn("_yp", F.col("y_pred") + F.col("w") * (F.col("x_perm") - F.col("x"))))
     pm = _rma(j, keys + ["model", "feature", "rep"], y_true, "_yp", tol)
     d = pm.join(base.select(*keys, "model", F.col("R2").alias("b_r2"), F.col("MAE").alias("b_mae"),
@@ -242,9 +244,8 @@ def categorical_permutation_importance(valid: DataFrame, coefs: DataFrame, xcols
         return None
     v = (valid.join(cw, keys).select(row_id, *keys, "model", F.explode(F.array(*contrib)).alias("kv"))
          .select(row_id, *keys, "model", "kv.*"))
-    src = permutation_values(valid.withColumn("_rid", F.col(row_id).cast("double")), row_id, keys,
-                             {f: "_rid" for f in cat_cols}, repeats, seed)
-    src = src.select(row_id, *keys, "feature", "rep", F.col("x_perm").cast("long").alias("_src"))
+    src = permutation_values(valid, row_id, keys, {f: row_id for f in cat_cols}, repeats, seed)
+    src = src.select(row_id, *keys, "feature", "rep", F.col("x_perm").alias("_src"))
     j = (pred.select(row_id, *keys, "model", F.col(y_true).alias("y_true"), "y_pred")
          .join(v, [row_id] + keys + ["model"]).join(src, [row_id] + keys + ["feature"]))
     vs = v.select(F.col(row_id).alias("_src"), *keys, "model", "feature", F.col("c").alias("_cs"))

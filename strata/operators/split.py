@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats
 from ..functions.quantiles import quantiles_from_counts, value_counts
 from ..functions.ranks import salted_row_number
 
@@ -42,7 +43,7 @@ def target_bins(df: DataFrame, target: str = "target", keys=("environment",), n_
                       lambda i: F.col("_mn") + i.cast("double") * ((F.col("_mx") - F.col("_mn")) / F.lit(float(n_bins))))
     edges = edges.withColumn("_e", F.when(F.size("_e") <= 2, lin).otherwise(F.col("_e")))
     inner = F.slice("_e", 2, F.size("_e") - 2)
-    return (df.join(edges, keys, "left")
+    return (join_stats(df, edges, keys, "left")
             .withColumn(out, F.size(F.filter(inner, lambda e: e < F.col(target))).cast("int"))
             .drop("_e", "_mn", "_mx"))
 
@@ -54,7 +55,7 @@ def stratified_kfold(df: DataFrame, stratum: str, n: int = 5, seed: int = 42, ke
     keys = list(keys)
     sizes = df.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("_sn"))
     feasible = sizes.groupBy(*keys).agg((F.max("_sn") >= n).alias("_strat_ok"))
-    d = df.join(feasible, keys, "left")
+    d = join_stats(df, feasible, keys, "left")
     d = d.withColumn("_stratum", F.when(F.col("_strat_ok"), F.col(stratum).cast("string")).otherwise(F.lit("*")))
     d = kfold(d, n=n, seed=seed, keys=keys + ["_stratum"], row_id=row_id, out=out, rep=rep,
               salt_chars=salt_chars)
@@ -71,7 +72,7 @@ def repeated_folds(df: DataFrame, repeats: int, n: int = 5, seed: int = 42, keys
     if stratum:
         sizes = d.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("_sn"))
         feasible = sizes.groupBy(*keys).agg((F.max("_sn") >= n).alias("_ok"))
-        d = d.join(feasible, keys, "left").withColumn(
+        d = join_stats(d, feasible, keys, "left").withColumn(
             "_st", F.when(F.col("_ok"), F.col(stratum).cast("string")).otherwise(F.lit("*"))).drop("_ok")
         keys = keys + ["_st"]
     d = salted_row_number(d, keys, "_hk", row_id, out="_rn")

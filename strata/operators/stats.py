@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats
 from ..functions.ranks import rank_counts, small_group_average_rank
 from ..functions.tails import PERFECT_R_TOL, chi2_sf_udf, normal_upper_tail_sql, pearson_p_udf
 
@@ -25,7 +26,7 @@ def paired_errors(preds: DataFrame, main: str, env="environment", row_id="row_id
     nm = m.groupBy(env).agg(F.count(F.lit(1)).alias("_nm"))
     nb = b.groupBy(env, "baseline").agg(F.count(F.lit(1)).alias("_nb"))
     ok = nb.join(nm, env).where(F.col("_nm") == F.col("_nb")).select(env, "baseline")
-    return (b.join(ok, [env, "baseline"], "left_semi").join(m, [env, row_id])
+    return (join_stats(b, ok, [env, "baseline"], "left_semi").join(m, [env, row_id])
             .select(env, "baseline", row_id, "err_main", "err_base",
                     (F.col("err_base") - F.col("err_main")).alias("d")))
 

@@ -111,8 +111,11 @@ favg AS (SELECT {KS}, {", ".join(f"avg({k}) AS {k}" for k in REG)}, avg(train_ac
          FROM per JOIN fh2 USING ({KS}, fold) GROUP BY ALL)"""
 
 
-def _fold_preds(spark, sf):
-    return predictions_from(comfort_folds(spark, sf), extra=("fold",))
+def _fold_preds(spark, sf, folds=5):
+    """Held-out predictions of every fold and those on the fold's training rows (the fixture's models are the same in every fold)."""
+    p = predictions_from(comfort_folds(spark, sf), extra=("fold",)).withColumnRenamed("fold", "own")
+    return (p.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+            .withColumn("role", F.when(F.col("fold") == F.col("own"), "valid").otherwise("train")).drop("own"))
 
 
 @register("V11_fold_average", with_sql(FOLD_AVG_SQL) + f"SELECT {KS}, {sqlgen.r6(REG + ['Train_Accuracy'])} FROM favg")
