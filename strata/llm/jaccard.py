@@ -11,8 +11,11 @@ Set-relation skipping.  Every set is indexed under the tokens of its necessary p
   classes; of two entries with the same leader, whose distances to it are known, the
   triangle inequality of the Jaccard distance decides most without looking at the sets.
 
-Equal sets are one class from the start, so copies cost nothing beyond the first scan.
-Sets are compared by 64-bit shingle hashes and named by 128-bit hashes.
+Pairs that are left are first held against parity bitmaps of their sets (the bits in which
+two bitmaps differ are a lower bound of the set difference), then compared exactly.  Equal
+sets are one class from the start, so copies cost nothing beyond the first scan.  Sets are
+compared by 64-bit shingle hashes and named by 128-bit hashes; the shorter tokens and nodes
+of the index can only add candidates.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import bounded, staged
 from . import text as tx
 from .components import components
 
 SHINGLE = 5
-# Buckets of the frequency sketch and the share of the mean from which a bucket is reported.
-BUCKET_BITS, HEAVY = 18, 4
+# Buckets of the frequency sketch, of a slice that is added up on its own, and how many standard
+# deviations above the mean a bucket counts as frequent.  The KEPT most frequent ones set the
+# order of tokens; any order gives the same links.
+BUCKET_BITS, SLICE, ABOVE, KEPT = 22, 1 << 16, 4.0, 262_144
 # Postings of one (token, salt) list; a longer list is dealt over several salts.
 LIST_ROWS = 4096
 # Leaders that each set is compared with before the lists are completed.
@@ -40,15 +45,35 @@ def _set(data: bytes) -> np.ndarray:
     return np.unique(tx.shingle_hashes(tx.word_hashes(tx.blank_words(data)), SHINGLE))
 
 
-def _name(shingles: np.ndarray) -> tuple[int, int]:
-    d = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-    return int(d[0]), int(d[1])
+def _name(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def _node(name: bytes) -> int:
+    return int.from_bytes(name[:6], "big")
+
+
+def _parity(shingles: np.ndarray) -> bytes:
+    """Bit i is the parity of the number of hashes that leave i; about one bit for each shingle."""
+    size = 1 << max(6, int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _scan(batches):
-    """Rows (id, n, h1, h2) of every text; then, per task, the heavy buckets of its shingles as (null, count, bucket, null)."""
+    """Rows (id, n, name, bits) of every text; then, per task, slices of the frequency sketch as (slice, counts)."""
     counts, pending, held = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
     shift = np.uint64(64 - BUCKET_BITS)
+    names = ["id", "n", "name", "bits", "bucket"]
 
     def settle():
         if pending:
@@ -58,40 +83,50 @@ def _scan(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, tx.ROWS):
             part = batch.slice(at, tx.ROWS)
-            ns, h1, h2 = [], [], []
+            ns, called, bits = [], [], []
             for data in tx.utf8(part.column("text")):
                 s = _set(data)
-                a, b = _name(s) if len(s) else (0, 0)
-                ns.append(len(s)), h1.append(a), h2.append(b)
+                ns.append(len(s)), called.append(_name(s)), bits.append(_parity(s) if len(s) else b"")
                 pending.append(s)
                 held += len(s)
             if held > 2_000_000:
                 settle()
                 held = 0
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                              pa.array([False] * len(ns))], ["id", "n", "h1", "h2", "bucket"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(called, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(ns), pa.int64())], names)
     settle()
-    heavy = np.flatnonzero(counts > 16 + HEAVY * counts.mean())
-    nulls = pa.nulls(len(heavy), pa.int64())
-    yield pa.RecordBatch.from_arrays([nulls, pa.array(counts[heavy]), pa.array(heavy), nulls, pa.array([True] * len(heavy), pa.bool_())],
-                                     ["id", "n", "h1", "h2", "bucket"])
+    parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, SLICE)
+    busy = np.flatnonzero(parts.any(axis=1))
+    packed = pa.array([pa.compress(parts[i].tobytes(), "zstd", asbytes=True) for i in busy], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(busy), pa.int64()), pa.nulls(len(busy), pa.int64()), pa.nulls(len(busy), pa.binary()), packed, pa.array(busy)], names)
 
 
-def _postings(weights: np.ndarray):
-    """The prefix postings of every distinct set of the task."""
-    names = ["token", "salt", "salted", "node", "n", "pos"]
+def _frequent(batches):
+    """Adds up the slices of a partition, one row at a time, and yields the frequent buckets (bucket, n)."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, data in zip(batch.column("bucket").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            own = np.frombuffer(pa.decompress(data, 2 * SLICE, "zstd", asbytes=True), np.uint16)
+            total[i] = total.get(i, 0) + own.astype(np.int64)
+    for i, counts in total.items():
+        at = np.flatnonzero(counts > counts.mean() + ABOVE * np.sqrt(counts.mean()) + ABOVE)
+        yield pa.RecordBatch.from_arrays([pa.array(at + i * SLICE), pa.array(counts[at])], ["bucket", "n"])
+
+
+def _postings(heavy: np.ndarray):
+    """The prefix postings of every distinct set of the task; heavy holds rows (bucket, count)."""
+    names = ["token", "pos", "n", "node", "salt", "salted"]
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        weights = np.zeros(1 << BUCKET_BITS, np.int64)
+        weights[heavy[:, 0]] = heavy[:, 1]
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, tx.ROWS):
                 cols: list[list[np.ndarray]] = [[] for _ in names]
                 for data in tx.utf8(batch.slice(at, tx.ROWS).column("text")):
                     s = _set(data)
-                    if not (n := len(s)):
-                        continue
-                    if (name := _name(s)) in seen:
+                    if not (n := len(s)) or (name := _name(s)) in seen:
                         continue
                     if len(seen) >= 100_000:
                         seen.clear()
@@ -100,22 +135,53 @@ def _postings(weights: np.ndarray):
                     p = n - (3 * n + 3) // 4 + 1
                     # sets are sorted by hash, so a stable sort by weight leaves ties in hash order
                     first = np.argsort(w, kind="stable")[:p] if w.any() else np.arange(p)
-                    lists = 1 + w[first] // LIST_ROWS
-                    for c, x in zip(cols, (s[first].view(np.int64), np.int64(name[0]) % lists, lists > 1, np.full(p, name[0]), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                    lists, node = 1 + w[first] // LIST_ROWS, _node(name)
+                    row = ((s[first] >> np.uint64(16)).view(np.int64), np.arange(p, dtype=np.int32), np.full(p, n, np.int32), np.full(p, node), (node % lists).astype(np.int32), lists > 1)
+                    for c, x in zip(cols, row, strict=True):
                         c.append(x)
                 if cols[0]:
-                    x = [np.concatenate(c) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.array(x[2]), *map(pa.array, x[3:])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
     return run
 
 
+def _lists(batches):
+    """Of one partition of postings, the lists with at least two entries (and parts of salted ones), each entry with its list's leader.
+
+    A partition holds six numbers a posting in memory, as many as Spark deals to a task.
+    """
+    cols = [np.concatenate(c) for c in zip(*([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)] for b in batches), strict=True)]
+    if not cols:
+        return
+    order = np.argsort(cols[0], kind="stable")
+    token = cols[0][order]
+    again = np.zeros(len(token) + 1, bool)
+    again[1:-1] = token[1:] == token[:-1]
+    kept = order[again[:-1] | again[1:] | cols[5][order]]
+    token, pos, n, node, salt, salted = (c[kept] for c in cols)
+    order = np.lexsort((node, n, pos, salt, token))
+    token, pos, n, node, salt, salted = (c[order] for c in (token, pos, n, node, salt, salted))
+    if not len(token):
+        return
+    start = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
+    lead = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
+    out = [token, salted, node, n, pos, node[lead], n[lead], pos[lead]]
+    for at in range(0, len(token), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in out], ["token", "salted", "node", "n", "pos", "l_node", "l_n", "l_pos"])
+
+
 def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-    h1, h2, n, sets = [], [], [], []
-    for data in tx.utf8(batch.column("text")):
-        s = _set(data)
-        a, b = _name(s) if len(s) else (0, 0)
-        h1.append(a), h2.append(b), n.append(len(s)), sets.append(s.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["h1", "h2", "n", "shingles"])
+    sets = [_set(data) for data in tx.utf8(batch.column("text"))]
+    return pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "shingles"])
+
+
+_PAIR = ["a", "b", "a_name", "b_name", "a_rep", "b_rep", "a_n", "b_n"]
+_PAIR_TYPES = "a long, b long, a_name binary, b_name binary, a_rep long, b_rep long, a_n long, b_n long"
+
+
+def _near(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs whose bitmaps and sizes leave room for the threshold: common <= (n + m - differ) / 2."""
+    room = [7 * (n + m - _differ(x, y)) >= 6 * (n + m) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_bits", "b_bits")), strict=True)]
+    return batch.select(_PAIR).filter(pa.array(room, pa.bool_()))
 
 
 def _common(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,25 +198,18 @@ def _reach(n: str, pos: str, m: str, qos: str) -> str:
 
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        found = staged(self.docs.mapInArrow(_scan, "id long, n long, h1 long, h2 long, bucket boolean"), "scan")
-        self.rows = found.where("not bucket").drop("bucket")
+        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        found = staged(self.docs.mapInArrow(_scan, "id long, n long, name binary, bits binary, bucket long"), "scan")
+        self.rows = found.where("bucket is null").select("id", "n", "name")
         # One row per distinct set; a row without an id takes no part in links.
-        self.classes = self.rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-        # At most 2^BUCKET_BITS rows of 16 bytes, at any input size.
-        weights = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b, c in found.where("bucket").groupBy("h1").agg(F.sum("n")).collect():
-            weights[b] = c
+        classes = found.where("bucket is null and n > 0 and id is not null").groupBy("name").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+        self.classes = staged(classes.withColumn("node", F.expr("conv(hex(substring(name, 1, 6)), 16, 10)").cast("long")), "classes")
+        slices = found.where("bucket is not null").select("bucket", "bits").repartition("bucket")
+        heavy = slices.mapInArrow(_frequent, "bucket long, n long").orderBy(F.desc("n"), "bucket").limit(KEPT).toArrow()
+        weights = np.stack([heavy.column(c).to_numpy() for c in ("bucket", "n")], axis=1)
         live = self.docs.where("id is not null").select("text")
-        self.entries = self._lists(live.mapInArrow(_postings(weights), "token long, salt int, salted boolean, node long, n int, pos int"))
-
-    @staticmethod
-    def _lists(post: DataFrame) -> DataFrame:
-        """Postings of lists with at least two entries, each with its list's leader."""
-        w = Window.partitionBy("token", "salt").orderBy("pos", "n", "node")
-        led = (post.withColumns({"lead": F.first(F.struct("node", "n", "pos")).over(w), "after": F.lead("node").over(w), "before": F.lag("node").over(w)})
-               .where("salted or after is not null or before is not null"))
-        return staged(led.select("token", "salted", "node", "n", "pos", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")), "lists")
+        post = live.mapInArrow(_postings(weights), "token long, pos int, n int, node long, salt int, salted boolean")
+        self.entries = staged(post.repartition("token", "salt").mapInArrow(_lists, "token long, salted boolean, node long, n int, pos int, l_node long, l_n int, l_pos int"), "lists")
 
     def _leader_pairs(self) -> DataFrame:
         """Every set with the LEADERS leaders that it shares most lists with."""
@@ -163,27 +222,23 @@ class _Join:
         best = Window.partitionBy("node").orderBy(F.desc("lists"), "l_node")
         return shared.withColumn("r", F.row_number().over(best)).where(f"r <= {LEADERS}").select(F.col("node").alias("a"), F.col("l_node").alias("b"))
 
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """The sets of all nodes in pairs, computed again from one text of each class."""
-        nodes = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-        wanted = self.classes.join(nodes, "h1", "left_semi")
-        texts = self.docs.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
-        sets = texts.mapInArrow(tx.by_slices(_shingles), "h1 long, h2 long, n long, shingles binary")
-        # an id may stand for several texts: only those that the pairs want stay, each once
-        return staged(sets.join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).drop("h2"), "sets")
-
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes with the classes that bear them, set sizes and common shingles."""
-        pairs = staged(pairs, "pairs")
-        sets = self._sets(pairs)
-        side = lambda s: sets.select(F.col("h1").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_set"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        """The pairs of nodes that may reach the threshold, with their classes, set sizes and common shingles."""
+        side = lambda s: self.classes.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("name", "rep", "n", "bits")))
+        near = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tx.by_slices(_near), _PAIR_TYPES), "near")
+        ids = near.select(F.col("a_rep").alias("id")).union(near.select(F.col("b_rep").alias("id"))).distinct()
+        names = near.select(F.col("a_name").alias("name")).union(near.select(F.col("b_name").alias("name"))).distinct()
+        # the sets are computed again from one text of each class; an id may stand for several texts
+        texts = self.docs.join(bounded(ids), "id", "left_semi").select("text")
+        sets = staged(texts.mapInArrow(tx.by_slices(_shingles), "name binary, shingles binary").join(names, "name", "left_semi").dropDuplicates(["name"]), "sets")
+        of = lambda s: sets.select(F.col("name").alias(f"{s}_name"), F.col("shingles").alias(f"{s}_set"))
+        both = near.join(of("a"), "a_name").join(of("b"), "b_name")
         return staged(both.mapInArrow(tx.by_slices(_common), "a long, b long, a_rep long, b_rep long, a_n long, b_n long, common long"), "compared")
 
-    def _open_pairs(self, labels: DataFrame, compared: DataFrame) -> DataFrame:
+    def _open_pairs(self, labels: DataFrame, compared: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of one list, from different classes, that no bound decides."""
         far = compared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max(F.expr("1 - common / (a_n + b_n - common)")).alias("far")).where("k = 1")
-        classes = self.classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("node"), F.coalesce("component", "rep").alias("class"))
+        classes = self.classes.join(labels, self.classes.rep == labels.node, "left").select(self.classes.node, F.coalesce("component", "rep").alias("class"))
         mixed = self.entries.join(classes, "node")
         open_lists = mixed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
         mixed = (mixed.join(open_lists, "token", "left_semi")
@@ -204,8 +259,7 @@ class _Join:
                      "x_class <> y_class and " + _reach("x_n", "x_pos", "y_n", "y_pos") +
                      " and (x_l_node <> y_l_node or x_far is null or y_far is null or abs(x_far - y_far) <= 0.25000001)"))
                  .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct())
-        done = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return pairs.join(done, ["a", "b"], "left_anti")
+        return pairs.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -225,12 +279,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     j = _Join(docs, id_col, text_col)
-    compared = j.compare(j._leader_pairs())
+    first = staged(j._leader_pairs(), "pairs")
+    compared = j.compare(first)
     labels = staged(components(_links(compared), "a_rep", "b_rep"), "labels")
-    more = j.compare(j._open_pairs(labels, compared))
-    extra = _links(more)
+    extra = _links(j.compare(j._open_pairs(labels, compared, first)))
     if not extra.isEmpty():
         labels = components(_links(compared).union(extra), "a_rep", "b_rep")
-    named = j.classes.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    return (j.rows.join(named, ["h1", "h2"], "left")
+    named = j.classes.join(labels, j.classes.rep == labels.node, "left").select("name", F.coalesce("component", "rep").alias("component"))
+    return (j.rows.join(named, "name", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("case when id is not null then coalesce(component, id) end").alias("component_id")))

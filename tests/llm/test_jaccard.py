@@ -50,7 +50,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
     """Chains, families of close copies, a passage in every text, and short texts."""
     rng = random.Random(seed)
     monkeypatch.setattr(jaccard, "LIST_ROWS", 8)  # salted lists at this size
-    monkeypatch.setattr(jaccard, "LEAST", 0)
+    monkeypatch.setattr(jaccard, "ABOVE", 0.5)
     passage = [f"common{i}" for i in range(30)]
     rows = []
     for _ in range(25):
