@@ -37,7 +37,7 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.digests(table(spark, sf_dir, "documents"), spm.read_model(spark, VOCABULARY))
+    return spm.verified(table(spark, sf_dir, "documents").select("doc_id", "text"), spm.read_model(spark, VOCABULARY))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

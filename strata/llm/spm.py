@@ -2,16 +2,18 @@
 
 The model's protobuf is parsed once; its normaliser, the marker for blanks, the pieces (BPE
 merges in the order of their scores, or unigram scores) and byte fallback are rebuilt as a
-``tokenizers`` object.  Tasks encode batches of texts with several threads.  The ids are
-compared with sentencepiece's own; where the two differ (a tie the two libraries break in
-another way) sentencepiece's ids are returned and ``parity`` is false.
+``tokenizers`` object.  Tasks encode the new words of a batch of texts with several threads.
+Every word's ids are compared with sentencepiece's own; where the two differ (a tie the
+libraries break in another way) sentencepiece's are used and the text's ``parity`` is false.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,11 @@ from . import text as tx
 MARK = "▁"
 # Texts of a batch are encoded together by this many threads, as many as a task has cores.
 THREADS = 2
+# Words remembered by a task, and the longest that is.
+MEMO, MEMO_CHARS = 300_000, 64
+# New words whose ids are compared in one go.
+GROUP = 500
+_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -91,12 +98,106 @@ def _processor(model: bytes):
     return SentencePieceProcessor(model_proto=model)
 
 
+class Encoder:
+    """Encodes texts word by word: a word begins with its marker, no merge or piece reaches
+    into the next, so a text's ids are its words' ids.  New words of a batch are encoded by
+    both libraries at once; a bounded memo holds what they gave."""
+
+    def __init__(self, json: str, model: bytes):
+        from tokenizers import normalizers, pre_tokenizers
+
+        norm = parse(model).normalizer_spec
+        self.plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces and norm.add_dummy_prefix
+        self.normalizer = _tokenizer(json).normalizer
+        self.prefix = norm.add_dummy_prefix
+        self.tokenizer = type(_tokenizer(json)).from_str(json)
+        self.split = self.tokenizer.pre_tokenizer is not None
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.exact = _processor(model)
+        self.memo: dict[str, list[int]] = {}
+        self.differ: set[str] = set()
+
+    def words(self, text: str) -> list[str]:
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
+        return _WORDS.findall(marked) if self.split else [marked]
+
+    def learn(self, new: list[str]) -> None:
+        # the library puts the first marker itself where the model has one
+        bare = [w.replace(MARK, " ")[1:] if self.prefix and w[0] == MARK else w.replace(MARK, " ") for w in new]
+        exact = self.exact.encode(bare, num_threads=THREADS)
+        if self.prefix and MARK in new:  # an empty text gets no marker
+            exact[new.index(MARK)] = [self.exact.piece_to_id(MARK)]
+        ends = np.cumsum([0, *map(len, exact)]).tolist()
+        ids = np.fromiter(chain.from_iterable(exact), "<i4", ends[-1])
+        data = ids.tobytes()
+        self.memo.update(zip(new, (data[4 * a:4 * b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        groups = [slice(at, at + GROUP) for at in range(0, len(new), GROUP)]
+        fast = self.tokenizer.encode_batch_fast([new[g] for g in groups], add_special_tokens=False, is_pretokenized=True)
+        for g, e in zip(groups, fast, strict=True):
+            if e.ids != ids[ends[g.start]:ends[min(g.stop, len(new))]].tolist():
+                alone = self.tokenizer.encode_batch_fast(new[g], add_special_tokens=False)
+                self.differ.update(w for w, x, y in zip(new[g], alone, exact[g], strict=True) if x.ids != y)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of every text as little-endian int32, and whether both libraries agreed on all its words."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            self.differ.clear()
+        words = [self.words(t) for t in texts]
+        if new := list(set(chain.from_iterable(words)).difference(self.memo)):
+            self.learn(new)
+        get = self.memo.__getitem__
+        ids = [b"".join(map(get, ws)) for ws in words]
+        agree = [self.differ.isdisjoint(ws) for ws in words] if self.differ else [True] * len(texts)
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+                self.differ.discard(w)
+        return ids, agree
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+@lru_cache(maxsize=4)
+def _encoder(json: str, model: bytes) -> Encoder:
+    return Encoder(json, model)
+
+
+class Decoder:
+    """Joins the bytes of pieces, markers as blanks and byte pieces as their byte; ids that are
+    no valid UTF-8 together go through the rebuilt decoder."""
+
+    def __init__(self, json: str):
+        self.tokenizer = _tokenizer(json)
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(MARK, " ").encode() for p in pieces]
+        # a leading blank is dropped where the model puts one
+        mark = self.tokenizer.token_to_id(MARK)
+        self.strip = mark is not None and self.tokenizer.decode([mark]) == ""
+
+    def decode(self, ids: list[int]) -> str:
+        try:
+            text = b"".join(map(self.bytes.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.strip and text[:1] == " " else text
+
+
+@lru_cache(maxsize=4)
+def _decoder(json: str) -> Decoder:
+    return Decoder(json)
+
+
 def _encode(json: str, model: bytes):
     def run(texts: pa.Array) -> list[pa.Array]:
-        own = [t or "" for t in texts.to_pylist()]
-        fast = [e.ids for e in _tokenizer(json).encode_batch_fast(own, add_special_tokens=False)]
-        exact = _processor(model).encode(own, num_threads=THREADS)
-        return [pa.array(exact, pa.list_(pa.int32())), pa.array([a == b for a, b in zip(fast, exact, strict=True)], pa.bool_())]
+        ids, agree = _encoder(json, model).encode([t or "" for t in texts.to_pylist()])
+        return [_lists(ids), pa.array(agree, pa.bool_())]
     return run
 
 
@@ -113,8 +214,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
 def _decode(json: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("ids").to_pylist()
-        out = _tokenizer(json).decode_batch([i or [] for i in ids], skip_special_tokens=False)
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([None if i is None else o for i, o in zip(ids, out, strict=True)], pa.string())], ["row", "text"])
+        decode = _decoder(json).decode
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([None if i is None else decode(i) for i in ids], pa.string())], ["row", "text"])
     return tx.by_slices(run)
 
 
@@ -126,14 +227,22 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
     return found.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(text_col))
 
 
-def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sha = [hashlib.sha256(np.asarray(i or [], "<i4").tobytes()).hexdigest() for i in batch.column("ids").to_pylist()]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_ids", "parity", "round_trip")), pa.array(sha)], ["doc_id", "n_ids", "parity", "round_trip", "ids_sha256"])
+def _verify(json: str, model: bytes):
+    def run(texts: pa.Array) -> list[pa.Array]:
+        own = [t or "" for t in texts.to_pylist()]
+        ids, agree = _encoder(json, model).encode(own)
+        decode = _decoder(json).decode
+        back = [decode(np.frombuffer(i, "<i4").tolist()) == t for i, t in zip(ids, own, strict=True)]
+        return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(agree, pa.bool_()), pa.array(back, pa.bool_()), pa.array([hashlib.sha256(i).hexdigest() for i in ids])]
+    return run
 
 
-def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of ids, digest of the ids (little-endian int32), parity, and whether decoding gives the text back."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    both = decode(encode(rows, model), model)
-    slim = both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "parity", (F.col("text") == F.col("decoded")).alias("round_trip"), "ids")
-    return slim.mapInArrow(tx.by_slices(_digest), "doc_id long, n_ids long, parity boolean, round_trip boolean, ids_sha256 string")
+def verified(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_ids, parity of the two libraries, round_trip (decoding
+    gives the text back) and ids_sha256 (of the ids as little-endian int32).
+
+    Null and empty texts have no ids.  Columns named like the outputs are replaced; an empty
+    table gives an empty result.
+    """
+    outputs = {"n_ids": "bigint", "parity": "boolean", "round_trip": "boolean", "ids_sha256": "string"}
+    return tx.mapped(docs, text_col, _verify(rebuild(model), model), outputs, False)
