@@ -17,11 +17,11 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
-from ..functions.joins import join_stats
+from ..functions.joins import join_stats, stats_table
 from .prep import FOLD_CTX, fit_numeric, long_numeric
 
 FEATURE_PREFIX = "x__"
@@ -262,10 +262,9 @@ def oof_linear(design: DataFrame, spec: FeatureSpec, xcols, learners=None, weigh
                        F.col(spec.target).alias("y_true"), "y_pred")
 
 
-def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame:
-    """One OLS model per feature (``ols_<feature>``): slope / intercept from the Gram
-    sums in closed form -- used where results are compared with SQL regression
-    aggregates."""
+def single_feature_coefs(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame:
+    """(env, k, feature, slope, intercept) of one OLS model per feature, from the Gram sums
+    in closed form, as a statistics table."""
     keys = [spec.env, FOLD_CTX]
     tr = design.where(F.col("role") == "train")
     long = tr.select(*keys, spec.target, F.explode(F.array(*[
@@ -276,111 +275,20 @@ def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame
                                            F.var_pop("x").alias("vx"), F.avg("x").alias("mx"), F.avg(y).alias("my"))
     g = g.withColumn("slope", F.col("cxy") / F.col("vx")).withColumn(
         "intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    return stats_table(g.select(*keys, "feature", "slope", "intercept"))
+
+
+def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols, coefs: DataFrame | None = None) -> DataFrame:
+    """One OLS model per feature (``ols_<feature>``) -- used where results are compared
+    with SQL regression aggregates."""
+    keys = [spec.env, FOLD_CTX]
+    g = single_feature_coefs(design, spec, xcols) if coefs is None else coefs
     valid = design.where(F.col("role") == "valid")
     vl = valid.select(spec.row_id, *keys, spec.target, F.explode(F.array(*[
         F.struct(F.lit(c[len(FEATURE_PREFIX):]).alias("feature"), F.col(c).alias("x")) for c in xcols])).alias("kv")) \
         .select(spec.row_id, *keys, spec.target, "kv.*")
-    p = vl.join(g.select(*keys, "feature", "slope", "intercept"), keys + ["feature"])
+    p = join_stats(vl, g, keys + ["feature"])
     return p.select(spec.row_id, spec.env, F.col(FOLD_CTX).alias("fold"),
                     F.concat(F.lit("ols_"), F.col("feature")).alias("model"), "feature", "x",
                     F.col(spec.target).alias("y_true"), "slope", "intercept",
                     (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_pred"))
-
-
-# ------------------------------------------------------------------------------------
-# k nearest neighbours (exact)
-# ------------------------------------------------------------------------------------
-
-def knn_predict(design: DataFrame, spec: FeatureSpec, xcols, k: int = 15, rings=(1, 3)) -> DataFrame:
-    """Exact k-nearest-neighbour regression with inverse-distance weights (a
-    zero-distance neighbour takes all the weight; ties -> training row id), training
-    rows = the other folds of the environment.
-
-    No all-pairs join.  Training rows of each context go to a grid over the first one
-    or two features whose cell width holds about k rows on average.  (1) Each query
-    ranks the training rows of the (2r+1)^d cells around it; when at least k are found
-    and the k-th distance D stays inside that block of cells, the block contains every
-    row within D, so its top k is exact.  (2) Queries not settled by the largest ring
-    join the cells of their box |x_i - q_i| <= D (D from the ring, or from the
-    context's row count when the ring is short) -- still an equi-join on cells."""
-    env, key = spec.env, [spec.env, FOLD_CTX]
-    dims = xcols[:2]
-    trx = design.where(F.col("role") == "train").select(F.col(spec.row_id).alias("_tid"), *key, spec.target,
-                                                        *[F.col(c).alias("t" + c) for c in xcols])
-    # Only the k smallest row ids at one exact point can ever be chosen (ties -> id):
-    # keep those.  ``row_number() <= k`` is planned as a partial WindowGroupLimit before
-    # the shuffle, so a point holding many rows ships at most k rows per map task.
-    tcoords = ["t" + c for c in xcols]
-    trx = (trx.withColumn("_r", F.row_number().over(Window.partitionBy(*key, *tcoords).orderBy("_tid")))
-           .where(F.col("_r") <= k).drop("_r"))
-    va_rows = design.where(F.col("role") == "valid").select(spec.row_id, *key, *[F.col(c).alias("q" + c) for c in xcols])
-    qcoords = ["q" + c for c in xcols]
-    vax = va_rows.select(*key, *qcoords).distinct().withColumn(  # one query per distinct point;
-        spec.row_id, F.concat_ws("|", *[F.col(c).cast("string") for c in qcoords]))  # exact, collision-free id
-    d2 = None
-    for c in xcols:
-        term = (F.col("q" + c) - F.col("t" + c)) * (F.col("q" + c) - F.col("t" + c))
-        d2 = term if d2 is None else d2 + term
-    ext = trx.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
-                                *[(F.max("t" + c) - F.min("t" + c)).alias(f"_r{i}") for i, c in enumerate(dims)])
-    vol = None
-    for i in range(len(dims)):
-        r = F.greatest(F.col(f"_r{i}"), F.lit(1e-9))
-        vol = r if vol is None else vol * r
-    width = ext.select(*key, F.greatest(F.pow(F.lit(float(k)) * vol / F.col("_n"), F.lit(1.0 / len(dims))),
-                                        F.lit(1e-9)).alias("_w"))
-    cells = [f"_c{i}" for i in range(len(dims))]
-    tcell = trx.join(width, key)
-    for i, c in enumerate(dims):
-        tcell = tcell.withColumn(f"_c{i}", F.floor(F.col("t" + c) / F.col("_w")).cast("long"))
-    tcell = tcell.drop("_w")
-    wk = Window.partitionBy(spec.row_id, *key).orderBy("_d", "_tid")
-
-    def top_k(pairs):
-        return pairs.withColumn("_d", F.sqrt(d2)).withColumn("_rk", F.row_number().over(wk)).where(F.col("_rk") <= k)
-
-    q = vax.join(width, key)
-    for i, c in enumerate(dims):
-        q = q.withColumn(f"_h{i}", F.floor(F.col("q" + c) / F.col("_w")).cast("long"))
-    settled, pending = None, q
-    for r in rings:
-        cand = pending
-        for i in range(len(dims)):
-            cand = cand.withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_h{i}") - r, F.col(f"_h{i}") + r)))
-        top = top_k(cand.join(tcell, key + cells))
-        stat = top.groupBy(spec.row_id, *key).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_d").alias("_D"))
-        chk = pending.join(stat, [spec.row_id] + key, "left")
-        covered = (F.col("_cnt") >= k)
-        for i, c in enumerate(dims):
-            covered = covered & (F.col("q" + c) - F.col("_D") >= (F.col(f"_h{i}") - r) * F.col("_w")) \
-                & (F.col("q" + c) + F.col("_D") < (F.col(f"_h{i}") + r + 1) * F.col("_w"))
-        chk = chk.withColumn("_ok", F.coalesce(covered, F.lit(False)))
-        done = top.join(chk.where("_ok").select(spec.row_id, *key), [spec.row_id] + key, "left_semi")
-        settled = done if settled is None else settled.unionByName(done)
-        last = chk.where(~F.col("_ok")).select(*q.columns, "_D", "_cnt")
-        pending = last.select(*q.columns)
-    # (2) the rest: box join on cells; a short ring (< k rows) takes the context's extent
-    ext_d = ext.select(*key, F.sqrt(sum(F.col(f"_r{i}") * F.col(f"_r{i}") for i in range(len(dims)))).alias("_ext"))
-    rest = last.join(ext_d, key).withColumn(
-        "_D", F.when(F.col("_cnt") >= k, F.col("_D")).otherwise(F.col("_ext") + F.lit(1e-9)))
-    box = rest
-    for i, c in enumerate(dims):
-        box = box.withColumn(f"_c{i}", F.explode(F.sequence(
-            F.floor((F.col("q" + c) - F.col("_D")) / F.col("_w")).cast("long"),
-            F.floor((F.col("q" + c) + F.col("_D")) / F.col("_w")).cast("long"))))
-    inside = None
-    for c in dims:
-        cond = F.abs(F.col("q" + c) - F.col("t" + c)) <= F.col("_D")
-        inside = cond if inside is None else inside & cond
-    late = top_k(box.drop("_cnt", "_ext").join(tcell, key + cells).where(inside))
-    cols = [spec.row_id, *key, "_tid", "_d", spec.target]
-    topall = settled.select(*cols).unionByName(late.select(*cols))
-    agg = topall.groupBy(spec.row_id, *key).agg(
-        F.sum(F.when(F.col("_d") == 0, 1.0).otherwise(0.0)).alias("_nz"),
-        F.sum(F.when(F.col("_d") == 0, F.col(spec.target)).otherwise(0.0)).alias("_zy"),
-        F.sum(F.when(F.col("_d") > 0, 1.0 / F.col("_d")).otherwise(0.0)).alias("_sw"),
-        F.sum(F.when(F.col("_d") > 0, F.col(spec.target) / F.col("_d")).otherwise(0.0)).alias("_swy"))
-    pred = F.when(F.col("_nz") > 0, F.col("_zy") / F.col("_nz")).otherwise(F.col("_swy") / F.col("_sw"))
-    per_point = agg.join(vax, [spec.row_id] + key).select(*key, *qcoords, pred.alias("y_pred"))
-    out = va_rows.join(per_point, key + qcoords)
-    return out.select(spec.row_id, env, F.col(FOLD_CTX).alias("fold"), F.lit("knn_distance").alias("model"), "y_pred")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import knn, models
 from ..operators.prep import FOLD_CTX
 from ..sources.tables import COMFORT_SPEC
 from .catalog import register
@@ -87,15 +87,15 @@ def q_m15(spark, sf):
     return _gram_oof(spark, sf, None)
 
 
-KNN_FEATURES = ["f_qty", "f_disc"]
+KNN_FEATURES = list(SPEC.num_cols)
+_PIVOT = ", ".join(f"max(CASE WHEN feature = '{f}' THEN x END) AS x{i}" for i, f in enumerate(KNN_FEATURES))
+_SQUARES = " + ".join(f"(q.x{i} - t.x{i}) * (q.x{i} - t.x{i})" for i in range(len(KNN_FEATURES)))
 
 
-@register("M11_knn_distance", with_sql(XT_SQL) + """,
-kx AS (SELECT row_id, environment, fold, k,
-              max(CASE WHEN feature = 'f_qty' THEN x END) AS a, max(CASE WHEN feature = 'f_disc' THEN x END) AS b
-       FROM xt GROUP BY ALL),
+@register("M11_knn_distance", with_sql(XT_SQL) + f""",
+kx AS (SELECT row_id, environment, fold, k, {_PIVOT} FROM xt GROUP BY ALL),
 pr AS (SELECT q.row_id, q.environment, q.k, t.row_id AS tid, tg.target AS ty,
-              sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b)) AS d
+              sqrt({_SQUARES}) AS d
        FROM kx q JOIN kx t ON q.environment = t.environment AND q.k = t.k AND q.fold = q.k AND t.fold <> t.k
        JOIN tg ON tg.row_id = t.row_id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, environment, k ORDER BY d, tid) AS r FROM pr)
@@ -107,5 +107,6 @@ agg AS (SELECT row_id, environment, k, sum(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END
 SELECT row_id, environment, k AS fold, 'knn_distance' AS model,
        round(CASE WHEN nz > 0 THEN zy / nz ELSE swy / sw END, 6) AS y_pred FROM agg""", bench=True)
 def q_m11(spark, sf):
+    """Exact kNN (k = 15) on all fold-scaled numeric features."""
     d, _ = design(spark, sf)
-    return models.knn_predict(d, SPEC, [models.FEATURE_PREFIX + f for f in KNN_FEATURES], k=15)
+    return knn.knn_predict(d, SPEC, [models.FEATURE_PREFIX + f for f in KNN_FEATURES], k=15)

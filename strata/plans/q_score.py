@@ -93,9 +93,10 @@ class Scores:
         self.uall = self.u1.unionByName(self.u2)
         self.ur = score.minmax_rank(self.uall, [ENV, FOLD_CTX], out="u")
         d, xcols = design(spark, sf, cf)
-        ols = models.single_feature_ols(d, COMFORT_SPEC, xcols).withColumnRenamed("fold", FOLD_CTX)
+        fits = models.single_feature_coefs(d, COMFORT_SPEC, xcols)
+        ols = models.single_feature_ols(d, COMFORT_SPEC, xcols, fits).withColumnRenamed("fold", FOLD_CTX)
         preds = ols.select("row_id", ENV, FOLD_CTX, "model", "y_true", "y_pred")
-        coefs = ols.select(ENV, FOLD_CTX, "model", F.col("feature").alias("own"), "slope").distinct()
+        coefs = fits.select(ENV, FOLD_CTX, F.concat(F.lit("ols_"), F.col("feature")).alias("model"), F.col("feature").alias("own"), "slope")
         weights = coefs.select(ENV, FOLD_CTX, "model", "own", "slope",
                                F.explode(F.array(*[F.lit(f) for f in NUM])).alias("feature")) \
             .select(ENV, FOLD_CTX, "model", "feature",
@@ -103,7 +104,9 @@ class Scores:
         valid = d.where(F.col("role") == "valid")
         perm = score.permutation_values(valid, "row_id", [ENV, FOLD_CTX],
                                         {f: models.FEATURE_PREFIX + f for f in NUM}, REPEATS, SEED)
-        r4 = score.permutation_importance(preds, weights, perm, "row_id", [ENV, FOLD_CTX])
+        # a feature without weight moves no prediction: its drops are 0 without a pass
+        r4 = score.permutation_importance(preds, weights.where("w <> 0"), perm, "row_id", [ENV, FOLD_CTX])
+        r4 = weights.select(ENV, FOLD_CTX, "model", "feature").join(r4, [ENV, FOLD_CTX, "model", "feature"], "left").fillna(0.0)
         self.r4 = cut_lineage(r4.select(ENV, FOLD_CTX, "model", "feature",
                                         *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")]))
         self.pr = score.minmax_rank(self.r4, [ENV, FOLD_CTX, "model"], value="dR2", out="p")

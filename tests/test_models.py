@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import models, stack
+from strata.operators import knn, models, stack
 from strata.spec import FeatureSpec
 
 SPEC = FeatureSpec(row_id="row_id", env="environment", target="target", num_cols=("a", "b"))
@@ -34,7 +34,7 @@ def test_knn_exact_with_hot_duplicate_point(spark):
         role = "valid" if i % 5 == 0 else "train"
         rows.append((i, "e", 0, role, float(rng.integers(-3, 4)), float(a), float(b)))
     d = _design(spark, rows)
-    got = {r.row_id: r.y_pred for r in models.knn_predict(d, SPEC, ["x__a", "x__b"], k=15).collect()}
+    got = {r.row_id: r.y_pred for r in knn.knn_predict(d, SPEC, ["x__a", "x__b"], k=15).collect()}
     pdf = pd.DataFrame(rows, columns=["row_id", "environment", "k", "role", "target", "x__a", "x__b"])
     tr, va = pdf[pdf.role == "train"], pdf[pdf.role == "valid"]
     assert len(got) == len(va)
@@ -42,6 +42,30 @@ def test_knn_exact_with_hot_duplicate_point(spark):
         assert got[r.row_id] == pytest.approx(_brute_knn(tr, np.array([r.x__a, r.x__b]), 15), rel=1e-9, abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["constant feature", "outlier", "clusters", "few rows"])
+def test_knn_over_many_blocks(spark, kind, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "CHUNK", 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(12 if kind == "few rows" else 700):
+        a, b = rng.normal(size=2)
+        if kind == "constant feature":
+            b = 0.0
+        if kind == "outlier" and i % 100 == 0:
+            a, b = 1e6 * (i + 1), -1e6
+        if kind == "clusters":
+            a, b = a * 1e-3 + i % 3, b * 1e-3
+        rows.append((i, "e", i % 2, "valid" if i % 7 == 0 else "train", float(rng.integers(-3, 4)), float(a), float(b)))
+    pdf = pd.DataFrame(rows, columns=["row_id", "environment", "k", "role", "target", "x__a", "x__b"])
+    got = {r.row_id: r.y_pred for r in knn.knn_predict(_design(spark, rows), SPEC, ["x__a", "x__b"], k=15).collect()}
+    va = pdf[pdf.role == "valid"]
+    assert len(got) == len(va)
+    for _, r in va.iterrows():
+        tr = pdf[(pdf.role == "train") & (pdf.k == r.k)]
+        assert got[r.row_id] == pytest.approx(_brute_knn(tr, np.array([r.x__a, r.x__b]), 15), rel=1e-9, abs=1e-12)
+
+
 def _gram_row(spark, x, y):
     pdf = pd.DataFrame({"g": 1, "y": y, **{f"x{i}": x[:, i] for i in range(x.shape[1])}})
     df = spark.createDataFrame(pdf)
