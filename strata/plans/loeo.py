@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_stats
 from ..operators import metrics, models
 from ..operators.prep import FOLD_CTX
+from ..session import staged
 from ..sources.tables import COMFORT_SPEC, comfort
 
 ENV = "environment"
 POOL = "pooled"
 LEARNERS = models.LINEAR_LEARNERS
+# Training rows of a shard: a pooled context holds all other environments.
+LOEO_ROWS = 4_000
 # LOEO ranking direction per metric (True = lower is better).
 LOEO_METRICS = {"RMSE": True, "MAE": True, "R2": False, "Accuracy": False}
 
@@ -33,15 +37,18 @@ def pooled_design(spark, sf):
 
 
 def loeo_metrics(spark, sf) -> DataFrame:
-    """Linear learners trained on all other environments, scored on the held-out
-    one; plus the mean over held-out environments per model (TestEnv = '*mean*')."""
+    """All 13 models trained on the other environments, scored on the held-out one;
+    plus the mean over held-out environments per model (TestEnv = '*mean*'), best first."""
+    from .stacked import baseline_predictions
     d, xcols, idx, _ = pooled_design(spark, sf)
-    oof = models.oof_linear(d, COMFORT_SPEC, xcols, LEARNERS)
-    oof = oof.join(idx, "fold")
+    oof = baseline_predictions(staged(d, "design"), xcols, rows=LOEO_ROWS, roles=("valid",))
+    oof = join_stats(oof, idx, ["fold"])
     per = metrics.regression_metrics(oof, ["test_env", "model"]).select(
         F.col("test_env").alias("TestEnv"), F.col("model").alias("Model"), *LOEO_METRICS)
+    per = staged(per, "loeo")
     mean = per.groupBy("Model").agg(*[F.avg(m).alias(m) for m in LOEO_METRICS]).withColumn("TestEnv", F.lit("*mean*"))
-    return per.unionByName(mean)
+    best = [F.col(m).asc() if lower else F.col(m).desc() for m, lower in LOEO_METRICS.items()]
+    return per.unionByName(mean).orderBy("TestEnv", *best, "Model")
 
 
 def loeo_stack(spark, sf, inner_folds: int = 5, seed: int = 42) -> DataFrame:
