@@ -23,7 +23,9 @@ HEADLINE = (
     "R01_univariate_r2",
     "R08_stability_selection",
     "M01_linear_regression",
+    "M10_adaboost_r2",
     "M11_knn_distance",
+    "M13_neural_ordinal",
     "B02_blend_nnls",
     "V01_regression_metrics",
     "C01_bias_and_qhat",
