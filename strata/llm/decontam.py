@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     The benchmark is cut into probe tables of at most ``TABLE_WORDS`` words, so what a task
     holds is bounded; further tables cost a scan each.
     """
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = tx.in_small_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     found = None
     for t in _tables(benchmark, item_col, item_text_col):
         if t.windows:

@@ -71,15 +71,10 @@ def _differ(x: bytes, y: bytes) -> int:
 
 def _scan(batches):
     """Rows (id, n, name, bits) of every text; then, per task, slices of the frequency sketch as (slice, counts)."""
-    counts, pending, held = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
     shift = np.uint64(64 - BUCKET_BITS)
     names = ["id", "n", "name", "bits", "bucket"]
 
-    def settle():
-        if pending:
-            counts[:] += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=len(counts))
-            pending.clear()
-
     for batch in batches:
         for at in range(0, batch.num_rows, tx.ROWS):
             part = batch.slice(at, tx.ROWS)
@@ -87,17 +82,14 @@ def _scan(batches):
             for data in tx.utf8(part.column("text")):
                 s = _set(data)
                 ns.append(len(s)), called.append(_name(s)), bits.append(_parity(s) if len(s) else b"")
-                pending.append(s)
-                held += len(s)
-            if held > 2_000_000:
-                settle()
-                held = 0
+                np.add.at(counts, (s >> shift).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(called, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(ns), pa.int64())], names)
-    settle()
     parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, SLICE)
     busy = np.flatnonzero(parts.any(axis=1))
     packed = pa.array([pa.compress(parts[i].tobytes(), "zstd", asbytes=True) for i in busy], pa.binary())
     yield pa.RecordBatch.from_arrays([pa.nulls(len(busy), pa.int64()), pa.nulls(len(busy), pa.int64()), pa.nulls(len(busy), pa.binary()), packed, pa.array(busy)], names)
+    del counts, parts, packed
+    tx.release()
 
 
 def _frequent(batches):
@@ -118,8 +110,8 @@ def _postings(heavy: np.ndarray):
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches):
-        weights = np.zeros(1 << BUCKET_BITS, np.int64)
-        weights[heavy[:, 0]] = heavy[:, 1]
+        weights = np.zeros(1 << BUCKET_BITS, np.int32)
+        weights[heavy[:, 0]] = np.minimum(heavy[:, 1], 2**31 - 1)
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, tx.ROWS):
@@ -135,12 +127,15 @@ def _postings(heavy: np.ndarray):
                     p = n - (3 * n + 3) // 4 + 1
                     # sets are sorted by hash, so a stable sort by weight leaves ties in hash order
                     first = np.argsort(w, kind="stable")[:p] if w.any() else np.arange(p)
-                    lists, node = 1 + w[first] // LIST_ROWS, _node(name)
+                    lists, node = 1 + w[first].astype(np.int64) // LIST_ROWS, _node(name)
                     row = ((s[first] >> np.uint64(16)).view(np.int64), np.arange(p, dtype=np.int32), np.full(p, n, np.int32), np.full(p, node), (node % lists).astype(np.int32), lists > 1)
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+        del weights
+        seen.clear()
+        tx.release()
     return run
 
 
@@ -167,6 +162,8 @@ def _lists(batches):
     out = [token, salted, node, n, pos, node[lead], n[lead], pos[lead]]
     for at in range(0, len(token), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in out], ["token", "salted", "node", "n", "pos", "l_node", "l_n", "l_pos"])
+    del cols, token, pos, n, node, salt, salted, order, out
+    tx.release()
 
 
 def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,7 +195,7 @@ def _reach(n: str, pos: str, m: str, qos: str) -> str:
 
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.docs = tx.in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         found = staged(self.docs.mapInArrow(_scan, "id long, n long, name binary, bits binary, bucket long"), "scan")
         self.rows = found.where("bucket is null").select("id", "n", "name")
         # One row per distinct set; a row without an id takes no part in links.

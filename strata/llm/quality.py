@@ -172,8 +172,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with predicted = 1, all columns unchanged."""
-    narrow = with_statistics(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", False)
-    model = train(narrow.join(labels.select(id_col).distinct(), id_col, "left_semi"), labels, id_col)
+    known = staged(with_statistics(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", False), "statistics")
+    model = train(known, labels, id_col)
 
     def keep(texts: pa.Array) -> list[pa.Array]:
         x = np.array([statistics(d) for d in tx.utf8(texts)], float).reshape(len(texts), -1)

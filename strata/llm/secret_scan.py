@@ -103,7 +103,7 @@ def candidates(docs: DataFrame, words: tuple[str, ...], follows: np.ndarray, id_
 
     Null and empty texts have none; a null path is an empty one; rows may repeat.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"))
+    rows = tx.in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(7)]

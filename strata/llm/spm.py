@@ -26,7 +26,7 @@ MARK = "▁"
 # Texts of a batch are encoded together by this many threads, as many as a task has cores.
 THREADS = 2
 # Words remembered by a task, and the longest that is.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 # New words whose ids are compared in one go.
 GROUP = 500
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -118,6 +118,11 @@ class Encoder:
         self.memo: dict[str, list[int]] = {}
         self.differ: set[str] = set()
 
+    def forget(self) -> None:
+        """Frees the memo: a worker that waits for other work holds none."""
+        self.memo.clear()
+        self.differ.clear()
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -144,8 +149,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """The ids of every text as little-endian int32, and whether both libraries agreed on all its words."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.differ.clear()
+            self.forget()
         words = [self.words(t) for t in texts]
         if new := list(set(chain.from_iterable(words)).difference(self.memo)):
             self.learn(new)
@@ -208,7 +212,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     Rows are handled one by one: repeated rows, null ids and other columns pass through
     (columns named like the outputs are replaced); an empty table gives an empty result.
     """
-    return tx.mapped(docs, text_col, _encode(rebuild(model), model), {ids_col: "array<int>", parity_col: "boolean"}, keep_text)
+    json = rebuild(model)
+    return tx.mapped(docs, text_col, _encode(json, model), {ids_col: "array<int>", parity_col: "boolean"}, keep_text, lambda: _encoder(json, model).forget())
 
 
 def _decode(json: str):
@@ -245,4 +250,5 @@ def verified(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame
     table gives an empty result.
     """
     outputs = {"n_ids": "bigint", "parity": "boolean", "round_trip": "boolean", "ids_sha256": "string"}
-    return tx.mapped(docs, text_col, _verify(rebuild(model), model), outputs, False)
+    json = rebuild(model)
+    return tx.mapped(docs, text_col, _verify(json, model), outputs, False, lambda: _encoder(json, model).forget())

@@ -130,4 +130,4 @@ def token_counts(docs: DataFrame, model: bytes, text_col: str = "text", count_co
     table gives an empty result.
     """
     vocabulary(model)  # unfit models fail here, not in a task
-    return tx.mapped(docs, text_col, _count(model), {count_col: "bigint"}, keep_text)
+    return tx.mapped(docs, text_col, _count(model), {count_col: "bigint"}, keep_text, lambda: _counter(model).memo.clear())

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id", 4, 2))
              .orderBy(F.xxhash64("id"), "id", "label").limit(sample))
     # at most ``sample`` rows of two numbers
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("label", "text")
+    texts = tx.in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("label", "text")
     counts = texts.mapInArrow(_word_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n0, n1 = (known.where(f"label = {y}").count() for y in (0, 1))
     if not n0 or not n1:
