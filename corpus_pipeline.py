@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, jaccard, pii, quality, spm
-from strata.llm.text import same_columns
+from strata.llm.text import boxed, same_columns
 from strata.session import staged
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,16 +37,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return same_columns(found.where("not contaminated"), docs)
+    slim, back = boxed(docs)
+    found = decontam.contamination(slim, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return back(found.where("not contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each personal span replaced by its kind in angle brackets; n_chars follows the text."""
-    found = pii.personal_data(docs).withColumn("text", F.col("redacted"))
+    slim, back = boxed(docs)
+    found = pii.personal_data(slim).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return same_columns(found, docs)
+        at = f"c{[c for c in docs.columns if c != 'text'].index('n_chars')}"
+        length = F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col(f"__box.{at}"))
+        found = found.withColumn("__box", F.col("__box").withField(at, length))
+    return back(found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
