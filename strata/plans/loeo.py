@@ -19,8 +19,6 @@ from ..sources.tables import COMFORT_SPEC, comfort
 ENV = "environment"
 POOL = "pooled"
 LEARNERS = models.LINEAR_LEARNERS
-# Training rows of a shard: a pooled context holds all other environments.
-LOEO_ROWS = 4_000
 # LOEO ranking direction per metric (True = lower is better).
 LOEO_METRICS = {"RMSE": True, "MAE": True, "R2": False, "Accuracy": False}
 
@@ -41,7 +39,7 @@ def loeo_metrics(spark, sf) -> DataFrame:
     plus the mean over held-out environments per model (TestEnv = '*mean*'), best first."""
     from .stacked import baseline_predictions
     d, xcols, idx, _ = pooled_design(spark, sf)
-    oof = baseline_predictions(staged(d, "design"), xcols, rows=LOEO_ROWS, roles=("valid",))
+    oof = baseline_predictions(staged(d, "design"), xcols, roles=("valid",))
     oof = join_stats(oof, idx, ["fold"])
     per = metrics.regression_metrics(oof, ["test_env", "model"]).select(
         F.col("test_env").alias("TestEnv"), F.col("model").alias("Model"), *LOEO_METRICS)
