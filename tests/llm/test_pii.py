@@ -60,3 +60,18 @@ def test_query_columns_and_edges(spark):
     assert out.columns[-2:] == ["pii_spans", "redacted"] and out.count() == len(cases.DOCS)
     assert {r.doc_id: r.redacted for r in out.collect()}[4] is None
     assert pii.personal_data(cases.empty(spark)).count() == 0
+
+
+def test_an_iban_ends_at_its_countrys_length():
+    spans = lambda text: [text[a:b] for k, a, b, _ in pii.find(text) if k == "iban"]
+    one, two = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for behind in (" BIC COBADEFFXXX", " EUR 50", " 50", " " + two, "", ".", " and"):
+        assert spans(one + behind)[0] == one, behind
+    assert spans(f"{one} {two}") == [one, two]
+    assert pii.redact(f"{one} EUR 50", pii.find(f"{one} EUR 50")) == "<iban> EUR 50"
+    assert spans(one + "1") == spans("X" + one) == spans(one[:-1]) == spans("DE89 3704 0044 0532 0130 01 EUR") == []
+    assert spans(f"AT61 1904 3002 3457 3202 {one}")[-1] == one  # a wrong one in front hides nothing behind it
+    for iban in ("RO49AAAA1B31007593840000", "BG80BNBG96611020345678", "HR1210010051863000160", "SK3112000000198742637541", "SI56263300012039086",
+                 "LT121000011101001000", "LV80BANK0000435195001", "EE382200221020145685", "MT84MALT011000012345MTLCAST001S", "CY17002001280000001200527600",
+                 "TR330006100519786457841326", "AE070331234567890123456", "SA0380000000608010167519"):
+        assert spans(iban) == [iban]
