@@ -1,6 +1,7 @@
 """Secret scan: entropy proposes candidates, a random forest removes the false positives.
 
-A candidate is a long run of token characters with enough entropy.  The forest sees its
+A candidate is a long run of token characters with enough entropy, as a whole or in one of
+its windows.  The forest sees its
 length, its character transitions, how much of it dictionary words cover, what its path
 says, and the words around it.  It is trained from labelled findings.
 """
@@ -20,8 +21,10 @@ from ..session import staged
 from . import text as tx
 
 LEAST_CHARS, LEAST_ENTROPY = 16, 3.0
-# Characters before and after a candidate in which words are looked for; longest candidate whose text is kept whole.
-NEAR, KEPT_CHARS = 40, 256
+# Characters before and after a candidate in which words are looked for.
+NEAR = 40
+# Windows of a long run whose entropy counts by itself: their characters, and the step between them.
+WINDOW, STEP = 1024, 512
 # Bound of the fit: findings of either label (those with the smallest hashes).
 SAMPLE = 10_000
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
@@ -40,6 +43,38 @@ def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in map(s.count, set(s)))
 
 
+def dense(s: str) -> list[tuple[int, int]]:
+    """The stretches of a run that are candidates: all of it where its entropy is enough, else what windows of ``LEAST_CHARS`` with enough
+    entropy cover (without repeats of the character beside it), else all of it where a long window has enough."""
+    if entropy(s) >= LEAST_ENTROPY:
+        return [(0, len(s))]
+    if len(set(s)) < 2**LEAST_ENTROPY:
+        return []
+    n, counts, held, found = LEAST_CHARS, dict.fromkeys(s, 0), 0.0, []
+    part = [c * math.log2(c) if c else 0.0 for c in range(n + 2)]
+    for i, c in enumerate(s):
+        held += part[counts[c] + 1] - part[counts[c]]
+        counts[c] += 1
+        if i >= n:
+            held += part[counts[s[i - n]] - 1] - part[counts[s[i - n]]]
+            counts[s[i - n]] -= 1
+        if i >= n - 1 and math.log2(n) - held / n >= LEAST_ENTROPY - 1e-9:
+            if found and i + 1 - n <= found[-1][1]:
+                found[-1][1] = i + 1
+            else:
+                found.append([i + 1 - n, i + 1])
+    for f in found:
+        a, b = f
+        while 0 < a < b and s[a] == s[a - 1]:
+            a += 1
+        while a < b < len(s) and s[b - 1] == s[b]:
+            b -= 1
+        f[:] = a, b
+    if not found and any(entropy(s[a:a + WINDOW]) >= LEAST_ENTROPY for a in {*range(0, max(1, len(s) - WINDOW), STEP), max(0, len(s) - WINDOW)}):
+        return [(0, len(s))]
+    return [(a, b) for a, b in found if b > a]
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -77,7 +112,7 @@ def transitions(texts: list[str]) -> np.ndarray:
 
 
 def features(text: str, start: int, end: int, path: str, words: tuple[str, ...], follows: np.ndarray) -> list[float]:
-    s = text[start:end][:KEPT_CHARS * 4]
+    s = text[start:end]
     kinds = [_kind(c) for c in s]
     n = len(s)
     run = best = 1
@@ -109,9 +144,9 @@ def candidates(docs: DataFrame, words: tuple[str, ...], follows: np.ndarray, id_
         out: list[list] = [[] for _ in range(7)]
         for i, text, path in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "path")), strict=True):
             for m in _CANDIDATE.finditer(text or ""):
-                if entropy(m.group()[:KEPT_CHARS * 4]) >= LEAST_ENTROPY:
-                    a, b = m.span()
-                    for c, x in zip(out, (i, a, b, m.group()[:KEPT_CHARS], text[max(0, a - NEAR):a], text[b:b + NEAR], features(text, a, b, path or "", words, follows)), strict=True):
+                for a, b in dense(m.group()):
+                    a, b = m.start() + a, m.start() + b
+                    for c, x in zip(out, (i, a, b, text[a:b], text[max(0, a - NEAR):a], text[b:b + NEAR], features(text, a, b, path or "", words, follows)), strict=True):
                         c.append(x)
         kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.list_(pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "start", "end", "value", "before", "after", "features"])
@@ -146,9 +181,12 @@ def judge(found: DataFrame, model) -> DataFrame:
 def weak_label() -> Column:
     """A label for findings nobody has judged: 1 where a secret's name is assigned the value, 0 where all letters are of one dictionary-like word or a hash is named, else null."""
     named = r"(?i)(token|key|secret|password|passwd|pwd)[a-z_]*[\"']?\s*[=:]\s*[\"']?$"
+    v = F.col("value")
+    # words joined by - or _, without a repeated group: values can be long
+    joined = v.rlike("^[A-Za-z][a-z][A-Za-z_-]*+$") & v.rlike("[-_]") & v.rlike("[a-z]$") & ~v.rlike("[-_](?![A-Z]?[a-z])|(?<=[^-_])[A-Z]")
     return (F.when(F.col("before").rlike(named) & F.col("value").rlike("[0-9]"), 1)
             .when(F.col("before").rlike(r"(?i)(sha1?|sha256|md5|commit|checksum|fingerprint|digest|uuid)[a-z_]*[\"']?\s*[=:]?\s*[\"']?$"), 0)
-            .when(F.col("value").rlike("^[A-Za-z][a-z]*$|^[A-Z]+$|^[A-Za-z][a-z]+([-_][A-Za-z]?[a-z]+)+$|^[0-9-]+$|^[=_/+-]+$"), 0))
+            .when(joined | v.rlike("^[A-Za-z][a-z]*+$|^[A-Z]++$|^[0-9-]++$|^[=_/+-]++$"), 0))
 
 
 def scan(docs: DataFrame, words: tuple[str, ...], labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:

@@ -104,3 +104,24 @@ def test_secret_edges(spark):
     assert sum(r.doc_id == 3 for r in found) == 2 and sum(r.doc_id is None for r in found) == 1
     assert secret_scan.scan(cases.clashing(spark), (), None, path_col="digest").count() >= 0
     assert secret_scan.scan(cases.empty(spark), WORDS).count() == 0
+
+
+def test_secret_candidates_are_read_whole(spark):
+    import random
+    rng = random.Random(4)
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(40))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))
+    docs = spark.createDataFrame([(1, "=" * 1500 + key), (2, "-" * 60 + key + "-" * 2000), (3, 'key="' + long + '7"'), (4, long), (5, "=" * 5000)], "doc_id long, text string")
+    found = secret_scan.candidates(docs, WORDS, secret_scan.transitions(list(WORDS))).withColumn("label", secret_scan.weak_label()).collect()
+    assert {r.id: (r.value, r.label) for r in found} == {1: (key, None), 2: (key, None), 3: (long + "7", 1), 4: (long, 0)}
+    assert all(r.end - r.start == len(r.value) for r in found) and len(found) == 4
+
+
+def test_joined_words_are_labelled_as_before(spark):
+    import random
+    import re
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aBc-_") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["a" + "-bc" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(words)), "i long, value string").selectExpr("*", "'' as before").withColumn("label", secret_scan.weak_label()).collect()
+    rule = re.compile("^[A-Za-z][a-z]*$|^[A-Z]+$|^[A-Za-z][a-z]+([-_][A-Z]?[a-z]+)+$|^[0-9-]+$|^[=_/+-]+$")
+    assert [r.value[:20] for r in rows if (r.label == 0) != bool(rule.match(r.value))] == []
