@@ -7,18 +7,27 @@ environments, with no row copied per held-out environment beyond the fold contex
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_stats
-from ..operators import metrics, models
+from ..operators import learners, metrics, models, shards
 from ..operators.prep import FOLD_CTX
 from ..session import staged
 from ..sources.tables import COMFORT_SPEC, comfort
 
 ENV = "environment"
 POOL = "pooled"
-LEARNERS = models.LINEAR_LEARNERS
+# The six learners under the meta model, at the settings of the original run.
+LEARNERS = {m: models.LINEAR_LEARNERS[m] for m in ("linear_regression", "ridge")}
+DEEP = {
+    "svr_rbf": partial(learners.kernel_rbf, c=1.0),
+    "random_forest": partial(learners.random_forest, n_trees=400),
+    "extra_trees": partial(learners.extra_trees, n_trees=500, max_depth=None, min_split=2, min_leaf=1),
+    "gradient_boosting": partial(learners.boost, rounds=100, rate=0.1, depth=3),
+}
 # LOEO ranking direction per metric (True = lower is better).
 LOEO_METRICS = {"RMSE": True, "MAE": True, "R2": False, "Accuracy": False}
 
@@ -50,12 +59,13 @@ def loeo_metrics(spark, sf) -> DataFrame:
 
 
 def loeo_stack(spark, sf, inner_folds: int = 5, seed: int = 42) -> DataFrame:
-    """For each held-out environment, the linear learners' inner out-of-fold
+    """For each held-out environment, the six learners' inner out-of-fold
     predictions on the training environments feed an OLS meta model; learners refitted
     on all training rows predict the held-out rows, the meta model combines them."""
     d, xcols, idx, _ = pooled_design(spark, sf)
     d = d.withColumn("inner", (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|inner|"), F.col("row_id").cast("string"))),
-                                                  1, 8), 16, 10).cast("long") % inner_folds).cast("int")).persist()
+                                                  1, 8), 16, 10).cast("long") % inner_folds).cast("int"))
+    d = staged(d, "design")
     tr = d.where(F.col("role") == "train")
     keys = [ENV, FOLD_CTX]
     g = models.gram(tr, keys + ["inner"], xcols, "target")
@@ -64,17 +74,25 @@ def loeo_stack(spark, sf, inner_folds: int = 5, seed: int = 42) -> DataFrame:
     g_in = cred.groupBy(*keys, "j").agg(*[F.sum(c).alias(c) for c in gcols])
     co_in = models.fit_linear(g_in, keys + ["j"], xcols, LEARNERS)
     p_in = models.predict_linear(tr.withColumn("j", F.col("inner")), co_in, keys + ["j"], xcols)
-    pcols = [f"p__{m}" for m in LEARNERS]
+    nested = (tr.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(inner_folds - 1))))
+              .withColumn("role", F.when(F.col("inner") == F.col("j"), "valid").otherwise("train")))
+    names = [*LEARNERS, *DEEP]
+    pcols = [f"p__{m}" for m in names]
+    cols = ["row_id", *keys, "model", "target", "y_pred"]
+
+    def both(linear, design, contexts):
+        deep = shards.fit_predict(design, xcols, DEEP, contexts, presets=DEEP).withColumnRenamed("y_true", "target")
+        return staged(linear.select(*cols).unionByName(deep.select(*cols)), "stack")
 
     def wide(p):
         return p.groupBy("row_id", *keys).agg(F.first("target").alias("target"), *[
-            F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"p__{m}") for m in LEARNERS])
+            F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"p__{m}") for m in names])
 
-    meta_g = models.gram(wide(p_in), keys, pcols, "target")
+    meta_g = models.gram(wide(both(p_in, nested, [*keys, "j"])), keys, pcols, "target")
     meta = models.fit_linear(meta_g, keys, pcols, {"meta_ols": dict(kind="ols")})
     co_full = models.fit_linear(models.gram(tr, keys, xcols, "target"), keys, xcols, LEARNERS)
     p_test = models.predict_linear(d.where(F.col("role") == "valid"), co_full, keys, xcols)
-    out = models.predict_linear(wide(p_test), meta.drop("model"), keys, pcols, out="y_pred")
+    out = models.predict_linear(wide(both(p_test, d, keys)), meta.drop("model"), keys, pcols, out="y_pred")
     out = out.join(idx, out[FOLD_CTX] == idx["fold"]).select(
         "row_id", "test_env", F.lit("stacked_ensemble").alias("model"), F.col("target").alias("y_true"), "y_pred")
     return out
