@@ -55,6 +55,6 @@ def test_sql_checked_queries(spark):
 def test_entry_lists_all(spark):
     import __spark_entry__ as entry
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and os.path.exists(cp.__file__)
