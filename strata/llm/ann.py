@@ -95,8 +95,23 @@ def _apart(lo: np.ndarray, hi: np.ndarray, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(vectors: np.ndarray, points: np.ndarray, queries: np.ndarray, seen: np.ndarray, worst: np.ndarray, base: np.ndarray, k: int):
-    """(scores, rows) of up to k best vectors of one block for each query.
+def _best(both: np.ndarray, names: np.ndarray, vectors: np.ndarray, queries: np.ndarray, first: np.ndarray, k: int):
+    """The k best of each query (row): scores and names.  Where scores come within rounding of the
+    k-th, the plainly summed products decide, and at equal ones the smaller id."""
+    best = np.argpartition(-both, k - 1, axis=1)[:, :k]
+    scores, found = np.take_along_axis(both, best, axis=1), np.take_along_axis(names, best, axis=1)
+    last = scores.min(axis=1)
+    near = both >= (last - 1e-12 * np.abs(np.where(np.isfinite(both), both, 0)).max(axis=1))[:, None]
+    for i in np.flatnonzero(np.isfinite(last) & (near.sum(axis=1) > k)):
+        at = np.flatnonzero(near[i])
+        exact = (vectors[names[i, at]] * queries[i]).sum(axis=1)
+        at = at[np.lexsort((first[names[i, at]], -exact))[:k]]
+        scores[i], found[i] = both[i, at], names[i, at]
+    return scores, found
+
+
+def _search(vectors: np.ndarray, points: np.ndarray, queries: np.ndarray, seen: np.ndarray, worst: np.ndarray, base: np.ndarray, first: np.ndarray, k: int):
+    """(scores, rows) of up to k best vectors of one block for each query; at equal scores those of the smallest ``first`` ids.
 
     ``points`` and ``seen`` are the projections of vectors and queries; ``worst`` is the
     squared distance of the k-th best so far (infinite if unknown), ``base`` what the squared
@@ -119,8 +134,7 @@ def _search(vectors: np.ndarray, points: np.ndarray, queries: np.ndarray, seen:
             rows = leaves[leaf]
             both = np.hstack([scores[who], queries[who] @ vectors[rows].T])
             names = np.hstack([found[who], np.broadcast_to(rows, (len(who), len(rows)))])
-            best = np.argpartition(-both, k - 1, axis=1)[:, :k]
-            scores[who], found[who] = np.take_along_axis(both, best, axis=1), np.take_along_axis(names, best, axis=1)
+            scores[who], found[who] = _best(both, names, vectors, queries[who], first, k)
         worst = np.minimum(worst, np.maximum(base - 2 * scores.min(axis=1), 0) * (1 + 1e-9))
         at, width = at + width, width * 2
     return scores, found
@@ -147,7 +161,8 @@ def _visit(k: int):
                 queries, seen = _floats(asked.field("vector")), _floats(asked.field("point"))
                 worst = np.array(asked.field("worst").to_pylist(), float)
                 base = np.array(asked.field("base").to_pylist(), float)
-                scores, found = _search(vectors, points, queries, seen, worst, base, k)
+                first = np.array([x[0] for x in ids], np.int64)
+                scores, found = _search(vectors, points, queries, seen, worst, base, first, k)
                 tops, far = [], []
                 for q, s, rows in zip(queries, scores, found, strict=True):
                     rows = rows[rows >= 0]

@@ -78,3 +78,9 @@ def test_hot_vector_ties_and_edges(spark):
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.99146) < 1e-4
     assert abs(ann.chi_square_quantile(0.95, 10) - 18.30704) < 1e-4
+
+
+def test_equal_scores_of_unequal_vectors_go_to_the_smaller_ids(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, i * 37 % 61 / 64]) for i in range(1, 61)]  # one leaf: the stopping test skips none
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21)) and {r.score for r in found} == {1.0}

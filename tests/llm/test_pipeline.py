@@ -45,6 +45,14 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 3, 4, 5, 7, 9, 10] and sum(r.doc_id is None for r in kept) == 2
 
 
+def test_near_duplicates_judges_rows_that_share_an_id_apart(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    t, u = words("t"), words("u")
+    docs = spark.createDataFrame([(1, t, "en", "s", 1), (2, t, "en", "s", 1), (2, None, "en", "s", 1), (2, u, "en", "s", 1), (2, u, "en", "s", 1), (3, t, "en", "s", 1), (3, u + " more", "en", "s", 1)], cases.SCHEMA)
+    kept = cp.drop_near_duplicates(spark, docs.withColumn("__row", cp.F.lit(0)), SF).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in kept)) == [(1, t), (2, ""), (2, u)]
+
+
 def test_sql_checked_queries(spark):
     con = duck(SF)
     for name, sql in queries.ORACLES.items():
