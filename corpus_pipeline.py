@@ -8,7 +8,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, jaccard, pii, quality, spm
@@ -24,15 +24,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by 5-word shingles.
+    """One row of every group of rows linked by 5-word shingles: that with the smallest id.
 
-    Rows that repeat an id are one document; the smallest text stands for it.  Documents
-    without words, and rows without an id, have no duplicates and stay.
+    Rows are judged one by one, each by its own text, so rows that share an id stay or go
+    apart; of equal rows one stays.  Rows without words, and rows without an id, have no
+    duplicates and stay.
     """
-    firsts = jaccard.near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("__place", place).where("__place = 1").drop("__place")
-    return same_columns(kept, docs).unionByName(docs.where("doc_id is null"))
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    named = staged(docs.where("doc_id is not null").withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.near_duplicates(named, row).join(named.select(row, "doc_id"), row)
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return same_columns(named.join(kept, row, "left_semi"), docs).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
