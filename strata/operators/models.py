@@ -177,6 +177,19 @@ def _coordinate_descent(cxx, cxy, n, l1_pen, l2_pen, tol=1e-12, max_iter=100000)
     raise ArithmeticError(f"coordinate descent did not converge in {max_iter} sweeps (last step {delta:g})")
 
 
+def solve_centred(a, b, n, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5):
+    """Weights of one learner (ols | ridge | lasso | elasticnet) from centred sums x'x and x'y over n rows."""
+    if kind == "ols":
+        return np.linalg.lstsq(a, b, rcond=None)[0]
+    if kind == "ridge":
+        return np.linalg.solve(a + alpha * np.eye(len(b)), b)
+    if kind == "lasso":
+        return _coordinate_descent(a, b, n, alpha, 0.0)
+    if kind == "elasticnet":
+        return _coordinate_descent(a, b, n, alpha * l1_ratio, alpha * (1.0 - l1_ratio))
+    raise ValueError(kind)
+
+
 def solve_linear(row, p: int, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5, active=None):
     """Coefficients (intercept, weights) for one Gram row.
 
@@ -186,18 +199,7 @@ def solve_linear(row, p: int, kind: str, alpha: float = 1.0, l1_ratio: float = 0
     idx = np.arange(p) if active is None else np.asarray(sorted(active), dtype=int)
     w = np.zeros(p)
     if len(idx):
-        a, b = cxx[np.ix_(idx, idx)], cxy[idx]
-        if kind == "ols":
-            sub = np.linalg.lstsq(a, b, rcond=None)[0]
-        elif kind == "ridge":
-            sub = np.linalg.solve(a + alpha * np.eye(len(idx)), b)
-        elif kind == "lasso":
-            sub = _coordinate_descent(a, b, n, alpha, 0.0)
-        elif kind == "elasticnet":
-            sub = _coordinate_descent(a, b, n, alpha * l1_ratio, alpha * (1.0 - l1_ratio))
-        else:
-            raise ValueError(kind)
-        w[idx] = sub
+        w[idx] = solve_centred(cxx[np.ix_(idx, idx)], cxy[idx], n, kind, alpha, l1_ratio)
     return float(my - mx @ w), w
 
 

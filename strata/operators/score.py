@@ -2,17 +2,16 @@
 
 Univariate scores use additive per-fold sums: the training statistics of context k
 are the sums over folds j != k (no row is copied per context).  Permutation
-importance shuffles a feature by joining two row numbers of the validation rows
-(row_id order vs. seeded MD5 order), both computed with the salted row number.
+importance gives every validation row the features of a partner row: an arithmetic bijection
+of one numbering of each group names the partner of each repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_stats
-from ..functions.quantiles import monotone_bucket
 from ..functions.ranks import salted_row_number
 from .prep import FOLD_CTX
 
@@ -85,23 +84,58 @@ def minmax_rank(scores: DataFrame, keys, value="score", out="rank_score") -> Dat
     return d.withColumn(out, r).drop("_v", "_mn", "_mx")
 
 
+# A prime beyond any row count: its powers have no divisor in common with a count, so i -> power * i + b (mod n) permutes 0 ... n - 1.
+PRIME = (1 << 61) - 1
+
+
+def permutation_steps(n: str, repeats: int, seed: int) -> Column:
+    """Array of (a, b): repeat r moves the row at place i of n to (a i + b) mod n."""
+    steps, a = [], F.lit(1).cast("long")
+    for r in range(repeats):
+        a = F.pmod(_times(a, F.pmod(F.lit(PRIME), F.col(n)), n), F.col(n))
+        b = F.conv(F.substring(F.md5(F.lit(f"{seed}|{r}")), 1, 8), 16, 10).cast("long")
+        steps.append(F.struct(a.alias("a"), F.pmod(b, F.col(n)).alias("b")))
+    return F.array(*steps)
+
+
+def _times(a, b, n: str):
+    """a * b for factors below n, in decimals where a long would not hold the product."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return F.when(F.col(n) < 3_000_000_000, a * b).otherwise(F.pmod(wide(a) * wide(b), wide(F.col(n))).cast("long"))
+
+
+def permuted_rows(rows: DataFrame, keys, pos: str, own, features, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """(keys, rep, own columns, features, <feature>_perm): every row ``repeats`` times, beside the features of another row of its group.
+
+    ``pos`` numbers a group's rows from 0 in any random order.  A row sends its features to the
+    place that ``permutation_steps`` gives for each repeat; what meets at a place is one row and
+    its ``repeats`` partners: one shuffle in all, no sort and no numbering per repeat.
+    """
+    keys = list(keys)
+    q = lambda c: F.col(f"`{c}`")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*keys, "_n", permutation_steps("_n", repeats, seed).alias("_steps"))
+    sent = join_stats(rows.select(*keys, q(pos).alias("_pos"), F.struct(*map(q, own)).alias("_own"), F.struct(*map(q, features)).alias("_x")), sizes, keys)
+    sent = sent.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
+    step = F.element_at("_steps", F.col("_rep"))
+    place = F.when(F.col("_rep") == 0, F.col("_pos")).otherwise(F.pmod(_times(step.getField("a"), F.col("_pos"), "_n") + step.getField("b"), F.col("_n")))
+    met = sent.select(*keys, place.alias("_at"), "_rep", F.when(F.col("_rep") == 0, F.col("_own")).alias("_own"), "_x").groupBy(*keys, "_at").agg(
+        F.max("_own").alias("_own"), F.max(F.when(F.col("_rep") == 0, F.col("_x"))).alias("_x"), F.collect_list(F.when(F.col("_rep") > 0, F.struct("_rep", "_x"))).alias("_others"))
+    out = met.select(*keys, "_own", "_x", F.explode("_others").alias("_o"))
+    return out.select(*keys, (F.col("_o._rep") - 1).alias("rep"), *(F.col(f"_own.`{c}`").alias(c) for c in own), *(F.col(f"_x.`{c}`").alias(c) for c in features),
+                      *(F.col(f"_o._x.`{c}`").alias(f"{c}_perm") for c in features))
+
+
 def permutation_values(valid: DataFrame, row_id: str, keys, features, repeats: int, seed: int) -> DataFrame:
-    """Shuffled copies of each feature: (row_id, keys, feature, rep, x, x_perm).  Row i
-    (in row_id order) receives the value of the row at position i of the seeded MD5
-    order -- a deterministic permutation per (keys, feature, rep)."""
-    long = valid.select(row_id, *keys, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(c).alias("x")) for f, c in features.items()])).alias("kv")) \
-        .select(row_id, *keys, "kv.*")
-    long = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    gk = list(keys) + ["feature", "rep"]
-    # an order-preserving bucket of the id in its own type
-    text = dict(valid.dtypes)[row_id] == "string"
-    bucket = F.conv(F.substring(F.hex(F.col(row_id)), 1, 4), 16, 10).cast("int") if text else monotone_bucket(F.col(row_id).cast("double"), 256)
-    a = salted_row_number(long, gk, row_id, row_id, out="_pos", bucket=bucket)
-    b = long.withColumn("_pk", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("rep").cast("string"),
-                                                   F.col(row_id).cast("string"))))
-    b = salted_row_number(b, gk, "_pk", row_id, out="_pos").select(*gk, "_pos", F.col("x").alias("x_perm"))
-    return a.join(b, gk + ["_pos"]).select(row_id, *gk, "x", "x_perm")
+    """Shuffled copies of each feature: (row_id, keys, feature, rep, x, x_perm): ``permuted_rows``
+    on one numbering of the rows of each group, in the order of their seeded MD5."""
+    keys = list(keys)
+    named = valid.select(F.col(row_id), *keys, *(F.col(c).alias(f"f__{f}") for f, c in features.items()))
+    hashed = named.withColumn("_pk", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string"))))
+    placed = salted_row_number(hashed, keys, "_pk", row_id, out="_place").withColumn("_place", F.col("_place") - 1)
+    rows = permuted_rows(placed, keys, "_place", [row_id], [f"f__{f}" for f in features], repeats, seed)
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"f__{f}").alias("x"), F.col(f"f__{f}_perm").alias("x_perm")) for f in features))
+    return rows.select(row_id, *keys, "rep", F.explode(pairs).alias("kv")).select(row_id, *keys, "kv.feature", "rep", "kv.x", "kv.x_perm")
 
 
 def permutation_importance(preds: DataFrame, weights: DataFrame, perm: DataFrame, row_id: str, keys,

@@ -22,10 +22,13 @@ def hash_key(seed: int, row_id: str, rep=0):
 
 
 def kfold(df: DataFrame, n: int = 5, seed: int = 42, keys=("environment",), row_id: str = "row_id",
-          out: str = "fold", rep=0, salt_chars: int = 3) -> DataFrame:
-    """Shuffled k-fold per group; fold sizes differ by at most one."""
+          out: str = "fold", rep=0, salt_chars: int = 3, pos: str | None = None) -> DataFrame:
+    """Shuffled k-fold per group; fold sizes differ by at most one.  ``pos`` names a column
+    for the row's place (from 0) in the shuffled order of its fold."""
     d = df.withColumn("_hk", hash_key(seed, row_id, rep))
     d = salted_row_number(d, list(keys), "_hk", row_id, out="_rn", salt_chars=salt_chars)
+    if pos:
+        d = d.withColumn(pos, F.floor((F.col("_rn") - 1) / n).cast("long"))
     return d.withColumn(out, ((F.col("_rn") - 1) % n).cast("int")).drop("_hk", "_rn")
 
 

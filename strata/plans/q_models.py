@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import knn, models
-from ..operators.prep import FOLD_CTX
+from ..operators import grams, knn, models
+from ..session import staged
 from ..sources.tables import COMFORT_SPEC
 from .catalog import register
 from .q_prep import TRAIN_SQL
-from .q_split import comfort_folds
+from .q_split import comfort_folds, placed_folds
 from ..sources.tables import with_sql
 
 SPEC = COMFORT_SPEC
@@ -31,6 +31,10 @@ oof AS (SELECT xt.row_id, xt.environment, xt.fold, xt.k, 'ols_' || xt.feature AS
         FROM xt JOIN fit USING (environment, k, feature) JOIN tg USING (row_id) WHERE xt.fold = xt.k)"""
 
 
+# One OLS model per numeric feature.
+SINGLE = {f"ols_{f}": {"kind": "ols", "active": [i]} for i, f in enumerate(SPEC.num_cols)}
+
+
 def design(spark, sf, cf=None):
     """Numeric design (fold-scaled features) -- the form the SQL oracles reproduce."""
     return models.design_rows(comfort_folds(spark, sf) if cf is None else cf, SPEC, K)
@@ -52,12 +56,13 @@ def ols_oof(spark, sf):
           bench=True)
 def q_m01(spark, sf):
     """Out-of-fold predictions of one OLS model per fold-scaled feature."""
-    return ols_oof(spark, sf).select("row_id", "environment", "fold", "model", "y_true", "y_pred")
+    cf = placed_folds(spark, sf)
+    contexts = grams.fit(cf, SPEC, K, categorical=False)
+    return grams.predict(cf, contexts, staged(grams.fits(grams.cells(cf, contexts), SINGLE), "fits"))
 
 
 def _gram_oof(spark, sf, learners):
-    d, xcols = design_full(spark, sf)
-    return models.oof_linear(d, SPEC, xcols, learners=learners)
+    return grams.oof(placed_folds(spark, sf), SPEC, K, learners)
 
 
 @register("M01_linear_regression_gram")
@@ -84,7 +89,7 @@ def q_m04(spark, sf):
 @register("M15_oof_predictions")
 def q_m15(spark, sf):
     """All four linear learners in one Gram pass -> long OOF table."""
-    return _gram_oof(spark, sf, None)
+    return _gram_oof(spark, sf, models.LINEAR_LEARNERS)
 
 
 KNN_FEATURES = list(SPEC.num_cols)

@@ -3,16 +3,18 @@ combination, per-fold picks, stability selection and reports."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..session import cut_lineage
-from ..operators import models, score
+from ..session import staged
+from ..operators import grams, score
 from ..operators.prep import FOLD_CTX
 from ..sources.tables import COMFORT_SPEC, with_sql
 from .catalog import register
-from .q_models import XT_SQL, design
-from .q_split import comfort_folds
+from .q_models import SINGLE, XT_SQL
+from .q_split import comfort_folds, placed_folds
 
 ENV = "environment"
 K = 5
@@ -45,11 +47,14 @@ uall AS (SELECT * FROM u1 UNION ALL SELECT * FROM u2),
 ur AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0
                  ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS u
        FROM uall WINDOW w AS (PARTITION BY environment, k)),
-pv AS (SELECT xt.row_id, xt.environment, xt.k, xt.feature, r.range AS rep, xt.x FROM xt, range({REPEATS}) r WHERE xt.fold = xt.k),
-pa AS (SELECT *, row_number() OVER (PARTITION BY environment, k, feature, rep ORDER BY row_id) AS pos FROM pv),
-pb AS (SELECT environment, k, feature, rep, x AS x_perm, row_number() OVER (PARTITION BY environment, k, feature, rep
-         ORDER BY md5('{SEED}|' || feature || '|' || rep || '|' || row_id), row_id) AS pos FROM pv),
-perm AS (SELECT pa.row_id, pa.environment, pa.k, pa.feature, pa.rep, pa.x, pb.x_perm FROM pa JOIN pb USING (environment, k, feature, rep, pos)),
+pn AS (SELECT environment, fold AS k, count(*) AS n, 2305843009213693951 % count(*) AS a FROM folds GROUP BY environment, fold),
+ps AS (SELECT environment, k, n, r.range AS rep, CASE r.range WHEN 0 THEN a WHEN 1 THEN a * a % n ELSE a * a % n * a % n END AS a,
+              CAST('0x' || substr(md5('{SEED}|' || r.range), 1, 8) AS BIGINT) % n AS b FROM pn, range({REPEATS}) r),
+pl AS (SELECT row_id, CAST((row_number() OVER (PARTITION BY environment ORDER BY md5('42|0|' || row_id), row_id) - 1) // 5 AS BIGINT) AS place FROM comfort),
+pv AS (SELECT xt.row_id, xt.environment, xt.k, xt.feature, xt.x, pl.place FROM xt JOIN pl USING (row_id) WHERE xt.fold = xt.k),
+perm AS (SELECT t.row_id, t.environment, t.k, t.feature, ps.rep, t.x, s.x AS x_perm
+         FROM pv s JOIN ps ON ps.environment = s.environment AND ps.k = s.k
+         JOIN pv t ON t.environment = s.environment AND t.k = s.k AND t.feature = s.feature AND t.place = (ps.a * s.place + ps.b) % ps.n),
 pp AS (SELECT o.environment, o.k, o.model, p.feature, p.rep, o.y_true,
               o.y_pred + CASE WHEN p.feature = o.feature THEN o.slope ELSE 0.0 END * (p.x_perm - p.x) AS yp
        FROM oof o JOIN perm p ON p.row_id = o.row_id AND p.environment = o.environment AND p.k = o.k),
@@ -84,37 +89,41 @@ stab AS (SELECT environment, model, feature, freq, mean_score,
 
 
 class Scores:
-    """The scoring pipeline of one run (shared by the R queries)."""
+    """The scoring pipeline of one run (shared by the R queries); a query computes the parts that it reads."""
 
     def __init__(self, spark, sf):
-        cf = comfort_folds(spark, sf).persist()  # shared by the univariate scores and the design
-        self.u1 = score.univariate_r2(cf, ENV, "fold", "target", NUM, K).withColumn("score", r6("score", 12))
-        self.u2 = score.eta_squared(cf, ENV, "fold", "target", CAT, K).withColumn("score", r6("score", 12))
-        self.uall = self.u1.unionByName(self.u2)
-        self.ur = score.minmax_rank(self.uall, [ENV, FOLD_CTX], out="u")
-        d, xcols = design(spark, sf, cf)
-        fits = models.single_feature_coefs(d, COMFORT_SPEC, xcols)
-        ols = models.single_feature_ols(d, COMFORT_SPEC, xcols, fits).withColumnRenamed("fold", FOLD_CTX)
-        preds = ols.select("row_id", ENV, FOLD_CTX, "model", "y_true", "y_pred")
-        coefs = fits.select(ENV, FOLD_CTX, F.concat(F.lit("ols_"), F.col("feature")).alias("model"), F.col("feature").alias("own"), "slope")
-        weights = coefs.select(ENV, FOLD_CTX, "model", "own", "slope",
-                               F.explode(F.array(*[F.lit(f) for f in NUM])).alias("feature")) \
-            .select(ENV, FOLD_CTX, "model", "feature",
-                    F.when(F.col("feature") == F.col("own"), F.col("slope")).otherwise(F.lit(0.0)).alias("w"))
-        valid = d.where(F.col("role") == "valid")
-        perm = score.permutation_values(valid, "row_id", [ENV, FOLD_CTX],
-                                        {f: models.FEATURE_PREFIX + f for f in NUM}, REPEATS, SEED)
-        # a feature without weight moves no prediction: its drops are 0 without a pass
-        r4 = score.permutation_importance(preds, weights.where("w <> 0"), perm, "row_id", [ENV, FOLD_CTX])
-        r4 = weights.select(ENV, FOLD_CTX, "model", "feature").join(r4, [ENV, FOLD_CTX, "model", "feature"], "left").fillna(0.0)
-        self.r4 = cut_lineage(r4.select(ENV, FOLD_CTX, "model", "feature",
-                                        *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")]))
-        self.pr = score.minmax_rank(self.r4, [ENV, FOLD_CTX, "model"], value="dR2", out="p")
-        self.comb = cut_lineage(score.combine_scores(self.ur.select(ENV, FOLD_CTX, "feature", "u"),
-                                                     self.pr.select(ENV, FOLD_CTX, "model", "feature", "p"),
-                                                     [ENV, FOLD_CTX]))
-        self.picks = score.top_m(self.comb, [ENV, FOLD_CTX, "model"], 7)
-        self.stab = score.stability_selection(self.picks, self.comb, [ENV, "model"], K)
+        self.cf = placed_folds(spark, sf)
+
+    @cached_property
+    def uall(self):
+        u1 = score.univariate_r2(self.cf, ENV, "fold", "target", NUM, K)
+        u2 = score.eta_squared(self.cf, ENV, "fold", "target", CAT, K)
+        return staged(u1.unionByName(u2).withColumn("score", r6("score", 12)), "scores")
+
+    @cached_property
+    def ur(self):
+        return score.minmax_rank(self.uall, [ENV, FOLD_CTX], out="u")
+
+    @cached_property
+    def r4(self):
+        """Permutation scores of one OLS model per feature."""
+        contexts = grams.fit(self.cf, COMFORT_SPEC, K, categorical=False)
+        fits = staged(grams.fits(grams.cells(self.cf, contexts), SINGLE), "fits")
+        found = grams.importance(self.cf, contexts, fits, "place", REPEATS, SEED)
+        return staged(found.select(ENV, FOLD_CTX, "model", "feature", *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")]), "importance")
+
+    @cached_property
+    def comb(self):
+        pr = score.minmax_rank(self.r4, [ENV, FOLD_CTX, "model"], value="dR2", out="p")
+        return staged(score.combine_scores(self.ur.select(ENV, FOLD_CTX, "feature", "u"), pr.select(ENV, FOLD_CTX, "model", "feature", "p"), [ENV, FOLD_CTX]), "combined")
+
+    @cached_property
+    def picks(self):
+        return score.top_m(self.comb, [ENV, FOLD_CTX, "model"], 7)
+
+    @cached_property
+    def stab(self):
+        return score.stability_selection(self.picks, self.comb, [ENV, "model"], K)
 
 
 @register("R01_univariate_r2", with_sql(SCORE_SQL) + "SELECT environment, k, feature, round(score, 6) AS score FROM u1",

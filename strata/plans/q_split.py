@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import split
+from ..session import staged
 from ..sources.tables import COMFORT_SQL, comfort, with_sql
 from .catalog import register
 
@@ -24,6 +25,11 @@ def comfort_folds(spark, sf, n=5, seed=42):
     return split.kfold(comfort(spark, sf), n=n, seed=seed)
 
 
+def placed_folds(spark, sf, n=5, seed=42):
+    """The folds, written once for the passes over them, with each row's place in its fold."""
+    return staged(split.kfold(comfort(spark, sf), n=n, seed=seed, pos="place"), "folds")
+
+
 @register("K01_kfold", with_sql(FOLDS_SQL) + "SELECT row_id, environment, fold FROM folds")
 def q_k01(spark, sf):
     return comfort_folds(spark, sf).select("row_id", "environment", "fold")
