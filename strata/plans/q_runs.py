@@ -8,8 +8,8 @@ from .catalog import register
 
 @register("M16_baseline_run")
 def q_m16(spark, sf):
-    """Selection pass + retrain pass + calibration for the ridge baseline."""
-    return variants.baseline_run(spark, sf, model="ridge")
+    """Selection pass + retrain pass + calibration for every linear baseline."""
+    return variants.baseline_run(spark, sf)
 
 
 @register("B09_stacker_sweep")
