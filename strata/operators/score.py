@@ -240,11 +240,14 @@ def selection_report(stab: DataFrame, u_raw: DataFrame, perm: DataFrame, combine
                     F.col("selected").alias("Selected"), F.row_number().over(w).cast("bigint").alias("Rank"))
 
 
-def feature_stability(freqs: DataFrame, keys, top_k: int = 20) -> DataFrame:
-    """Frequency summed over models per feature, the top k (a name-only report
-    counts 1 per listed feature)."""
+def feature_stability(freqs: DataFrame, keys, top_k: int = 20, named: DataFrame | None = None) -> DataFrame:
+    """Frequency summed over models per feature, the top k.  ``named`` holds reports
+    (keys, model, feature) that only list names: each listed feature counts 1."""
     keys = list(keys)
-    s = freqs.groupBy(*keys, "feature").agg(F.sum("freq").alias("freq_sum"))
+    all_freqs = freqs.select(*keys, "feature", "freq")
+    if named is not None:
+        all_freqs = all_freqs.unionByName(named.select(*keys, "feature", F.lit(1.0).alias("freq")))
+    s = all_freqs.groupBy(*keys, "feature").agg(F.sum("freq").alias("freq_sum"))
     w = Window.partitionBy(*keys).orderBy(F.col("freq_sum").desc(), F.col("feature"))
     return s.withColumn("stability_rank", F.row_number().over(w).cast("bigint")).where(F.col("stability_rank") <= top_k)
 

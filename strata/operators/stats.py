@@ -63,17 +63,21 @@ def friedman(errors: DataFrame, env="environment", block="row_id", treatment="mo
              with_p: bool = False) -> DataFrame:
     """Friedman chi-square, blocks = rows, treatments = models, tie-corrected; null if
     fewer than 2 blocks or 3 treatments.  Only complete blocks take part."""
-    k_t = errors.groupBy(env).agg(F.countDistinct(treatment).alias("k"))
-    sizes = errors.groupBy(env, block).agg(F.count(F.lit(1)).alias("_bs"))
-    full = sizes.join(k_t, env).where(F.col("_bs") == F.col("k")).select(env, block)
-    e = errors.join(full, [env, block], "left_semi")
-    r = small_group_average_rank(e, [env, block], value, out="rank")
-    rs = r.groupBy(env, treatment).agg(F.sum("rank").alias("R"))
-    ssbn = rs.groupBy(env).agg(F.sum(F.col("R") * F.col("R")).alias("ssbn"))
-    ties = (e.groupBy(env, block, value).agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(env).agg(F.sum(F.col("t").cast("double") * (F.col("t") * F.col("t") - 1)).alias("ties")))
-    nb = e.select(env, block).distinct().groupBy(env).agg(F.count(F.lit(1)).alias("n_blocks"))
-    j = nb.join(k_t, env).join(ssbn, env).join(ties, env)
+    # a block in one row: its treatments, their tie-averaged ranks and its tie term, all from arrays
+    blocks = errors.groupBy(env, block).agg(F.array_sort(F.collect_list(F.struct(F.col(treatment).alias("t"), F.col(value).alias("v")))).alias("b"))
+    blocks = blocks.select(env, F.transform("b", lambda x: x.t).alias("_set"), F.transform("b", lambda x: x.v).alias("_v"))
+    below = lambda x: F.size(F.filter("_v", lambda y: y < x))
+    equal = lambda x: F.size(F.filter("_v", lambda y: y == x))
+    ranked = blocks.select(env, "_set", F.transform("_v", lambda x: below(x) + (equal(x) + 1) / F.lit(2.0)).alias("_r"),
+                           F.aggregate("_v", F.lit(0.0), lambda s, x: s + equal(x) * equal(x) - 1).alias("_tie"))
+    # blocks with the same treatments add up; only those with all of an environment's treatments count
+    cells = ranked.select(env, "_set", F.posexplode(F.concat(F.array("_tie", F.lit(1.0)), "_r")).alias("_at", "_x")).groupBy(env, "_set", "_at").agg(F.sum("_x").alias("_x"))
+    sets = cells.groupBy(env, "_set").agg(F.max(F.when(F.col("_at") == 0, F.col("_x"))).alias("ties"), F.max(F.when(F.col("_at") == 1, F.col("_x"))).alias("n_blocks"),
+                                          F.sum(F.when(F.col("_at") > 1, F.col("_x") * F.col("_x"))).alias("ssbn"))
+    full = sets.groupBy(env).agg(F.array_distinct(F.flatten(F.collect_list("_set"))).alias("_all"), F.collect_list(F.struct("_set", "ties", "n_blocks", "ssbn")).alias("_sets"))
+    own = F.try_element_at(F.filter("_sets", lambda x: (F.size(x["_set"]) == F.size("_all")) & (F.size(F.array_distinct(x["_set"])) == F.size("_all"))), F.lit(1))
+    j = full.select(env, F.size("_all").alias("k"), own.alias("_own")).select(
+        env, "k", *(F.coalesce(F.col(f"_own.{c}"), F.lit(0.0)).alias(c) for c in ("ties", "n_blocks", "ssbn")))
     n, k = F.col("n_blocks").cast("double"), F.col("k").cast("double")
     c = F.lit(1.0) - F.col("ties") / (k * (k * k - 1) * n)
     chi = (F.lit(12.0) / (k * n * (k + 1)) * F.col("ssbn") - 3 * n * (k + 1)) / c
