@@ -50,12 +50,3 @@ def rank_counts(counts: DataFrame, keys, v: str = "v", n: str = "n", per_octave:
     return (c.withColumn("below", below.cast("long"))
             .withColumn("avg_rank", below.cast("double") + (F.col(n).cast("double") + F.lit(1.0)) / F.lit(2.0))
             .drop("_b", "_in", "_off"))
-
-
-def small_group_average_rank(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
-    """Tie-averaged rank inside small groups (e.g. models within one block)."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(value)
-    wt = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w).cast("double")
-                         + (F.count(F.lit(1)).over(wt).cast("double") - F.lit(1.0)) / F.lit(2.0))

@@ -1,27 +1,20 @@
-"""Model training on fold contexts (survey IDs M01-M04, M11, M15 and helpers).
+"""Design rows for learners that need them (M05-M11) and the solvers of the linear family.
 
 Design rows: every survey row appears once per fold context ``k`` (validation when
 ``fold == k``, training otherwise) with its features transformed by the preprocessor
 fitted on that context (T07).  The statistics are joined as one small wide table per
-(env, k), so the transform is a projection.
-
-Linear family: one aggregation builds the Gram sums (1, x, y, x x', x y) of every
-(env, k); only these k x k rows are solved -- on executors, through ``applyInPandas``
-over the Gram table -- for OLS, ridge, lasso and elastic net.  Nothing row-sized
-leaves Spark.
+(env, k), so the transform is a projection.  The linear family does without them: see
+``grams``.
 """
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
-from ..functions.joins import join_stats, stats_table
+from ..functions.joins import join_stats
 from .prep import FOLD_CTX, fit_numeric, long_numeric
 
 FEATURE_PREFIX = "x__"
@@ -86,7 +79,7 @@ def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fol
         stats = fit_numeric(long_numeric(df, spec), env, n_folds)
     ws = wide_stats(stats, env, feats)
     base_cols = [spec.row_id, env, fold, spec.target] + ([weight] if weight else [])
-    rows = df.select(*base_cols, *[F.col(_q(f)).cast("double").alias(f) for f in feats])
+    rows = df.select(*base_cols, *[F.col(_q(f)).cast("double").alias(f) for f in feats], *[F.col(_q(c)).cast("string").alias(c) for c in levels or ()])
     rows = rows.withColumn(FOLD_CTX, F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     j = join_stats(rows, ws, [env, FOLD_CTX])
     xs = []
@@ -97,8 +90,7 @@ def design_rows(df: DataFrame, spec: FeatureSpec, n_folds: int, fold: str = "fol
     names = [FEATURE_PREFIX + f for f in feats]
     if levels:
         oh = onehot_stats(df, spec, n_folds, levels, fold)
-        cats = df.select(spec.row_id, *[F.col(_q(c)).cast("string").alias(c) for c in levels])
-        j = j.join(cats, spec.row_id).transform(lambda d: join_stats(d, oh, [env, FOLD_CTX], "left"))
+        j = join_stats(j, oh, [env, FOLD_CTX], "left")
         for f, lvs in levels.items():
             imp = F.coalesce(F.col(f), F.col(f"mode__{f}"))
             for lv in lvs:
@@ -210,106 +202,3 @@ LINEAR_LEARNERS = {
     "lasso": dict(kind="lasso", alpha=0.001),
     "elasticnet": dict(kind="elasticnet", alpha=0.3, l1_ratio=0.5),
 }
-
-
-def fit_linear(g: DataFrame, keys, xcols, learners: dict | None = None,
-               selected: DataFrame | None = None, env: str = "environment") -> DataFrame:
-    """Solve every Gram row for every learner; returns (keys, model, intercept, coef json).
-
-    ``selected`` (optional) = (env, model, feature) restricts each model's features per
-    environment (stability selection output); it is joined to the Gram rows as an array
-    of feature indices, never collected."""
-    learners = learners or LINEAR_LEARNERS
-    keys = list(keys)
-    p = len(xcols)
-    spec_json = json.dumps({m: v for m, v in learners.items()})
-    rows = g.withColumn("model", F.explode(F.array(*[F.lit(m) for m in learners])))
-    if selected is not None:
-        idx = F.array_position(F.array(*[F.lit(c) for c in xcols]),
-                               F.concat(F.lit(FEATURE_PREFIX), F.col("feature"))) - 1
-        act = selected.where(idx >= 0).groupBy(env, "model").agg(F.collect_set(idx.cast("int")).alias("active"))
-        rows = rows.join(act, [env, "model"], "left")
-    else:
-        rows = rows.withColumn("active", F.lit(None).cast("array<int>"))
-    schema = ", ".join(f"{k} {t}" for k, t in _key_types(g, keys)) + ", model string, intercept double, coef string"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cfg = json.loads(spec_json)
-        out = []
-        for _, row in pdf.iterrows():
-            par = dict(cfg[row["model"]])
-            kind = par.pop("kind")
-            active = None if row["active"] is None else [int(i) for i in row["active"]]
-            b, w = solve_linear(row, p, kind, active=active, **par)
-            rec = {k: row[k] for k in keys}
-            rec.update(model=row["model"], intercept=b, coef=json.dumps([float(v) for v in w]))
-            out.append(rec)
-        return pd.DataFrame(out, columns=keys + ["model", "intercept", "coef"])
-
-    return rows.groupBy(*keys, "model").applyInPandas(solve, schema=schema)
-
-
-def _key_types(df: DataFrame, keys):
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return [(k, types[k]) for k in keys]
-
-
-def coef_columns(coefs: DataFrame, xcols) -> DataFrame:
-    """Expand the json coefficient vector into one column per feature."""
-    arr = F.from_json("coef", "array<double>")
-    return coefs.select("*", *[arr.getItem(i).alias(f"w__{c}") for i, c in enumerate(xcols)]).drop("coef")
-
-
-def predict_linear(design: DataFrame, coefs: DataFrame, keys, xcols, out: str = "y_pred") -> DataFrame:
-    """Score design rows with the coefficients of their context (small table join)."""
-    cw = coef_columns(coefs, xcols)
-    j = join_stats(design, cw, keys)
-    expr = F.col("intercept")
-    for c in xcols:
-        expr = expr + F.col(f"w__{c}") * F.col(c)
-    return j.withColumn(out, expr)
-
-
-def oof_linear(design: DataFrame, spec: FeatureSpec, xcols, learners=None, weight=None,
-               selected: DataFrame | None = None) -> DataFrame:
-    """M15 for the linear family: fit on training rows of each (env, k), predict the
-    validation rows -> long OOF table (row_id, env, fold, model, y_true, y_pred)."""
-    keys = [spec.env, FOLD_CTX]
-    g = gram(design.where(F.col("role") == "train"), keys, xcols, spec.target, weight)
-    coefs = fit_linear(g, keys, xcols, learners, selected)
-    valid = design.where(F.col("role") == "valid")
-    pred = predict_linear(valid, coefs, keys, xcols)
-    return pred.select(spec.row_id, spec.env, F.col(FOLD_CTX).alias("fold"), "model",
-                       F.col(spec.target).alias("y_true"), "y_pred")
-
-
-def single_feature_coefs(design: DataFrame, spec: FeatureSpec, xcols) -> DataFrame:
-    """(env, k, feature, slope, intercept) of one OLS model per feature, from the Gram sums
-    in closed form, as a statistics table."""
-    keys = [spec.env, FOLD_CTX]
-    tr = design.where(F.col("role") == "train")
-    long = tr.select(*keys, spec.target, F.explode(F.array(*[
-        F.struct(F.lit(c[len(FEATURE_PREFIX):]).alias("feature"), F.col(c).alias("x")) for c in xcols])).alias("kv")) \
-        .select(*keys, spec.target, "kv.*")
-    y = F.col(spec.target)
-    g = long.groupBy(*keys, "feature").agg(F.covar_pop("x", spec.target).alias("cxy"),
-                                           F.var_pop("x").alias("vx"), F.avg("x").alias("mx"), F.avg(y).alias("my"))
-    g = g.withColumn("slope", F.col("cxy") / F.col("vx")).withColumn(
-        "intercept", F.col("my") - F.col("slope") * F.col("mx"))
-    return stats_table(g.select(*keys, "feature", "slope", "intercept"))
-
-
-def single_feature_ols(design: DataFrame, spec: FeatureSpec, xcols, coefs: DataFrame | None = None) -> DataFrame:
-    """One OLS model per feature (``ols_<feature>``) -- used where results are compared
-    with SQL regression aggregates."""
-    keys = [spec.env, FOLD_CTX]
-    g = single_feature_coefs(design, spec, xcols) if coefs is None else coefs
-    valid = design.where(F.col("role") == "valid")
-    vl = valid.select(spec.row_id, *keys, spec.target, F.explode(F.array(*[
-        F.struct(F.lit(c[len(FEATURE_PREFIX):]).alias("feature"), F.col(c).alias("x")) for c in xcols])).alias("kv")) \
-        .select(spec.row_id, *keys, spec.target, "kv.*")
-    p = join_stats(vl, g, keys + ["feature"])
-    return p.select(spec.row_id, spec.env, F.col(FOLD_CTX).alias("fold"),
-                    F.concat(F.lit("ols_"), F.col("feature")).alias("model"), "feature", "x",
-                    F.col(spec.target).alias("y_true"), "slope", "intercept",
-                    (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_pred"))

@@ -138,34 +138,6 @@ def permutation_values(valid: DataFrame, row_id: str, keys, features, repeats: i
     return rows.select(row_id, *keys, "rep", F.explode(pairs).alias("kv")).select(row_id, *keys, "kv.feature", "rep", "kv.x", "kv.x_perm")
 
 
-def permutation_importance(preds: DataFrame, weights: DataFrame, perm: DataFrame, row_id: str, keys,
-                           y_true="y_true", tol=0.5) -> DataFrame:
-    """R04 for linear models: permuting feature g moves the prediction by w_g (x_perm - x).
-    Drops of R2 / accuracy and rise of MAE against the unpermuted predictions, each
-    floored at 0 and averaged over repeats.  ``preds``: (row_id, keys, model, y_true,
-    y_pred); ``weights``: (keys, model, feature, w)."""
-    keys = list(keys)
-    base = _rma(preds, keys + ["model"], y_true, "y_pred", tol)
-    j = (join_stats(preds, weights, keys + ["model"]).join(perm, [row_id] + keys + ["feature"])
-         .withColumn("_yp", F.col("y_pred") + F.col("w") * (F.col("x_perm") - F.col("x"))))
-    pm = _rma(j, keys + ["model", "feature", "rep"], y_true, "_yp", tol)
-    d = pm.join(base.select(*keys, "model", F.col("R2").alias("b_r2"), F.col("MAE").alias("b_mae"),
-                            F.col("Acc").alias("b_acc")), keys + ["model"])
-    d = d.select(*keys, "model", "feature",
-                 F.greatest(F.lit(0.0), F.col("b_r2") - F.col("R2")).alias("dR2"),
-                 F.greatest(F.lit(0.0), F.col("MAE") - F.col("b_mae")).alias("dMAE"),
-                 F.greatest(F.lit(0.0), F.col("b_acc") - F.col("Acc")).alias("dAcc"))
-    return d.groupBy(*keys, "model", "feature").agg(F.avg("dR2").alias("dR2"), F.avg("dMAE").alias("dMAE"),
-                                                    F.avg("dAcc").alias("dAcc"))
-
-
-def _rma(df, keys, y, p, tol):
-    e = F.col(y) - F.col(p)
-    g = df.groupBy(*keys).agg(F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_vy"), F.count(F.lit(1)).alias("_n"),
-                              F.avg(F.abs(e)).alias("MAE"), F.avg((F.abs(e) <= tol).cast("double")).alias("Acc"))
-    return g.withColumn("R2", F.lit(1.0) - F.col("_sse") / (F.col("_vy") * F.col("_n"))).drop("_sse", "_vy", "_n")
-
-
 def combine_scores(u_rank: DataFrame, p_rank: DataFrame | None, keys, mode: str = "hybrid",
                    weights=(0.4, 0.6)) -> DataFrame | None:
     """None / univariate_only / permutation_only / hybrid over the union of features.
@@ -255,46 +227,3 @@ def feature_stability(freqs: DataFrame, keys, top_k: int = 20, named: DataFrame
 def selected_union(stab: DataFrame, keys) -> DataFrame:
     """Features selected by at least one model."""
     return stab.where(F.col("selected")).select(*keys, "feature").distinct()
-
-
-def categorical_permutation_importance(valid: DataFrame, coefs: DataFrame, xcols, cat_cols, row_id: str, keys,
-                                       repeats: int, seed: int, y_true="target", tol=0.5) -> DataFrame:
-    """R04 for one-hot categoricals of linear models: permuting a categorical moves all
-    its indicator columns together, i.e. row i takes the level contribution
-    c_f = sum_l w_l * 1[level = l] of its permutation source.  Same permutation rule,
-    floors and averaging as the numeric form."""
-    from .models import coef_columns, predict_linear
-    keys = list(keys)
-    pred = predict_linear(valid, coefs, keys, xcols)
-    cw = coef_columns(coefs, xcols)
-    contrib = []
-    for f in cat_cols:
-        cols = [c for c in xcols if c.split("__", 1)[1].split("=")[0] == f and "=" in c]
-        if not cols:
-            continue
-        e = None
-        for c in cols:
-            t = F.col(f"w__{c}") * F.col(c)
-            e = t if e is None else e + t
-        contrib.append(F.struct(F.lit(f).alias("feature"), e.alias("c")))
-    if not contrib:
-        return None
-    v = (valid.join(cw, keys).select(row_id, *keys, "model", F.explode(F.array(*contrib)).alias("kv"))
-         .select(row_id, *keys, "model", "kv.*"))
-    src = permutation_values(valid, row_id, keys, {f: row_id for f in cat_cols}, repeats, seed)
-    src = src.select(row_id, *keys, "feature", "rep", F.col("x_perm").alias("_src"))
-    j = (pred.select(row_id, *keys, "model", F.col(y_true).alias("y_true"), "y_pred")
-         .join(v, [row_id] + keys + ["model"]).join(src, [row_id] + keys + ["feature"]))
-    vs = v.select(F.col(row_id).alias("_src"), *keys, "model", "feature", F.col("c").alias("_cs"))
-    j = j.join(vs, ["_src"] + keys + ["model", "feature"]).withColumn("_yp", F.col("y_pred") + (F.col("_cs") - F.col("c")))
-    base = _rma(pred.select(row_id, *keys, "model", F.col(y_true).alias("y_true"), "y_pred"),
-                keys + ["model"], "y_true", "y_pred", tol)
-    pm = _rma(j, keys + ["model", "feature", "rep"], "y_true", "_yp", tol)
-    d = pm.join(base.select(*keys, "model", F.col("R2").alias("b_r2"), F.col("MAE").alias("b_mae"),
-                            F.col("Acc").alias("b_acc")), keys + ["model"])
-    d = d.select(*keys, "model", "feature",
-                 F.greatest(F.lit(0.0), F.col("b_r2") - F.col("R2")).alias("dR2"),
-                 F.greatest(F.lit(0.0), F.col("MAE") - F.col("b_mae")).alias("dMAE"),
-                 F.greatest(F.lit(0.0), F.col("b_acc") - F.col("Acc")).alias("dAcc"))
-    return d.groupBy(*keys, "model", "feature").agg(F.avg("dR2").alias("dR2"), F.avg("dMAE").alias("dMAE"),
-                                                    F.avg("dAcc").alias("dAcc"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_stats
-from ..functions.ranks import rank_counts, small_group_average_rank
+from ..functions.ranks import rank_counts
 from ..functions.tails import PERFECT_R_TOL, chi2_sf_udf, normal_upper_tail_sql, pearson_p_udf
 
 

@@ -46,11 +46,6 @@ def design_full(spark, sf, cf=None):
     return models.design_rows(cf, SPEC, K, levels=models.categorical_levels(cf, SPEC.cat_cols))
 
 
-def ols_oof(spark, sf):
-    d, xcols = design(spark, sf)
-    return models.single_feature_ols(d, SPEC, xcols)
-
-
 @register("M01_linear_regression", with_sql(XT_SQL) +
           "SELECT row_id, environment, fold, model, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred FROM oof",
           bench=True)
