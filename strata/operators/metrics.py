@@ -63,10 +63,9 @@ def contingency(df: DataFrame, keys, y_true="y_true", y_pred="y_pred") -> DataFr
 
 
 def ordinal_metrics(df: DataFrame, keys, y_true="y_true", y_pred="y_pred", cont: DataFrame | None = None) -> DataFrame:
-    """V04-V08 from the contingency table."""
+    """V04-V08 from the contingency table; ``cont`` gives a written one."""
     keys = list(keys)
-    ct = cont if cont is not None else contingency(df, keys, y_true, y_pred)
-    ct = ct.persist()
+    ct = cont if cont is not None else stats_table(contingency(df, keys, y_true, y_pred))
     tot = ct.groupBy(*keys).agg(F.sum("cnt").cast("double").alias("n"),
                                 F.sum(F.when(F.col("tc") == F.col("pc"), F.col("cnt")).otherwise(0))
                                 .cast("double").alias("diag"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_stats, stats_table
 from ..functions.quantiles import pivot_quantiles, quantiles_from_counts
-from ..session import bounded
+from ..session import staged
 from ..spec import FeatureSpec
 from .clean import clean_strings, numeric_if_all_parse
 
@@ -97,10 +97,10 @@ def fit_scale(counts: DataFrame, med: DataFrame, cap: DataFrame, keys, per_octav
 def fit_numeric(long: DataFrame, env: str, n_folds: int | None, per_octave=4096) -> DataFrame:
     """All numeric statistics per context: median, lower, upper, center, scale.
 
-    The count table is persisted (read by all three passes) and each small statistics
-    table is checkpointed, so the dependent passes do not re-embed each other's plans."""
+    The count table, which all three passes read, and each small statistics table are
+    written, so the dependent passes do not re-embed each other's plans."""
     keys = ctx_keys(env, n_folds)
-    counts = context_counts(long, env, "value", n_folds).persist()
+    counts = staged(context_counts(long, env, "value", n_folds), "counts")
     med = small_table(fit_median(counts, keys, per_octave))
     cap = small_table(fit_cap(counts, med, keys, per_octave=per_octave))
     sc = small_table(fit_scale(counts, med, cap, keys, per_octave))
@@ -166,12 +166,14 @@ def one_hot(long_cat: DataFrame, mode: DataFrame, levels: DataFrame, env: str, n
 
 def category_codes(df: DataFrame, env: str, cols) -> DataFrame:
     """code = 0-based position of the value among the group's sorted distinct values;
-    missing -> -1.  The distinct-level table is small and joined back."""
+    missing -> -1.  One scan finds the levels of all columns; their table is joined back."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(_q(c)).cast("string").alias("_lv")) for c in cols])
+    found = df.select(env, F.explode(pairs).alias("p")).select(env, "p.f", "p._lv").where(F.col("_lv").isNotNull()).distinct()
+    codes = stats_table(found.withColumn("_code", (F.dense_rank().over(Window.partitionBy(env, "f").orderBy("_lv")) - 1).cast("int")))
     out = df
     for c in cols:
-        lv = (df.where(F.col(_q(c)).isNotNull()).select(env, F.col(_q(c)).cast("string").alias("_lv")).distinct())
-        lv = lv.withColumn("_code", (F.dense_rank().over(Window.partitionBy(env).orderBy("_lv")) - 1).cast("int"))
-        out = (out.withColumn("_lv", F.col(_q(c)).cast("string")).join(bounded(lv), [env, "_lv"], "left")
+        own = codes.where(F.col("f") == c).select(env, "_lv", "_code")
+        out = (join_stats(out.withColumn("_lv", F.col(_q(c)).cast("string")), own, [env, "_lv"], "left")
                .withColumn(f"{c}_code", F.coalesce("_code", F.lit(-1))).drop("_lv", "_code"))
     return out
 
@@ -202,10 +204,10 @@ def preprocess_global(df: DataFrame, spec: FeatureSpec, per_octave=4096) -> Data
         F.lit(None).cast("string").alias("level"))
     lc = long_categorical(df, spec, extra=())
     mode = fit_mode(lc, env, None)
-    imp = lc.join(mode, [env, "feature"], "left").withColumn("level", F.coalesce("level", "mode"))
+    imp = join_stats(lc, mode, [env, "feature"], "left").withColumn("level", F.coalesce("level", "mode"))
     lv = imp.select(env, "feature", "level").distinct()
     lv = lv.withColumn("code", (F.dense_rank().over(Window.partitionBy(env, "feature").orderBy("level")) - 1))
-    cat = imp.join(lv, [env, "feature", "level"]).select(
+    cat = join_stats(imp, lv, [env, "feature", "level"]).select(
         spec.row_id, env, "feature", F.lit(None).cast("double").alias("original"),
         F.col("code").cast("double").alias("scaled"), "level")
     return num.unionByName(cat)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prep
+from ..session import staged
 from ..sources.tables import COMFORT_SQL, COMFORT_SPEC, comfort, with_sql
 from .catalog import register
 from .q_split import KS_SQL, LONG_SQL, comfort_folds
@@ -66,7 +67,7 @@ def q_t02(spark, sf):
 @register("T03_cap_iqr", with_sql(TRAIN_SQL) +
           "SELECT environment, k, feature, round(lower, 6) AS lower, round(upper, 6) AS upper FROM cap")
 def q_t03(spark, sf):
-    c = _counts(spark, sf).persist()
+    c = staged(_counts(spark, sf), "counts")
     med = prep.small_table(prep.fit_median(c, KEYS))
     return prep.fit_cap(c, med, KEYS)
 
