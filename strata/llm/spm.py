@@ -2,9 +2,10 @@
 
 The model's protobuf is parsed once; its normaliser, the marker for blanks, the pieces (BPE
 merges in the order of their scores, or unigram scores) and byte fallback are rebuilt as a
-``tokenizers`` object.  Tasks encode the new words of a batch of texts with several threads.
-Every word's ids are compared with sentencepiece's own; where the two differ (a tie the
-libraries break in another way) sentencepiece's are used and the text's ``parity`` is false.
+``tokenizers`` object, which encodes batches of whole texts with several threads and gives
+the ids.  Each text's ids are compared with those that sentencepiece finds on the same text,
+so a fault of the rebuilt normaliser, marker, pieces or word split shows; only where the two
+differ sentencepiece's are returned, and the text's ``parity`` is false.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import hashlib
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,10 @@ from . import text as tx
 MARK = "▁"
 # Texts of a batch are encoded together by this many threads, as many as a task has cores.
 THREADS = 2
-# Words remembered by a task, and the longest that is.
-MEMO, MEMO_CHARS = 200_000, 64
-# New words whose ids are compared in one go.
-GROUP = 500
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# Characters handed to the libraries at a time; a longer text goes in parts.
+PART_CHARS = 1 << 18
+# A blank between words: the character before it is no blank and no marker, and the text goes on.
+_GAP = re.compile(f"(?<=[^ {MARK}]) (?!\\Z)")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -99,68 +98,50 @@ def _processor(model: bytes):
 
 
 class Encoder:
-    """Encodes texts word by word: a word begins with its marker, no merge or piece reaches
-    into the next, so a text's ids are its words' ids.  New words of a batch are encoded by
-    both libraries at once; a bounded memo holds what they gave."""
+    """Encodes whole texts by the rebuilt ``tokenizers`` object and holds them against sentencepiece.
 
-    def __init__(self, json: str, model: bytes):
-        from tokenizers import normalizers, pre_tokenizers
+    Where nothing crosses from a word into the next marker, a text longer than PART_CHARS is
+    handed over in parts, cut at blanks between words: the marker that the normaliser puts in
+    front of a part stands for the blank, so the parts' ids joined are the text's.
+    """
 
+    def __init__(self, json: str, model: bytes):
         norm = parse(model).normalizer_spec
-        self.plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces and norm.add_dummy_prefix
-        self.normalizer = _tokenizer(json).normalizer
-        self.prefix = norm.add_dummy_prefix
-        self.tokenizer = type(_tokenizer(json)).from_str(json)
-        self.split = self.tokenizer.pre_tokenizer is not None
-        self.tokenizer.normalizer = normalizers.Sequence([])
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([])
-        self.exact = _processor(model)
-        self.memo: dict[str, list[int]] = {}
-        self.differ: set[str] = set()
-
-    def forget(self) -> None:
-        """Frees the memo: a worker that waits for other work holds none."""
-        self.memo.clear()
-        self.differ.clear()
-
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
-        return _WORDS.findall(marked) if self.split else [marked]
-
-    def learn(self, new: list[str]) -> None:
-        # the library puts the first marker itself where the model has one
-        bare = [w.replace(MARK, " ")[1:] if self.prefix and w[0] == MARK else w.replace(MARK, " ") for w in new]
-        exact = self.exact.encode(bare, num_threads=THREADS)
-        if self.prefix and MARK in new:  # an empty text gets no marker
-            exact[new.index(MARK)] = [self.exact.piece_to_id(MARK)]
-        ends = np.cumsum([0, *map(len, exact)]).tolist()
-        ids = np.fromiter(chain.from_iterable(exact), "<i4", ends[-1])
-        data = ids.tobytes()
-        self.memo.update(zip(new, (data[4 * a:4 * b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-        groups = [slice(at, at + GROUP) for at in range(0, len(new), GROUP)]
-        fast = self.tokenizer.encode_batch_fast([new[g] for g in groups], add_special_tokens=False, is_pretokenized=True)
-        for g, e in zip(groups, fast, strict=True):
-            if e.ids != ids[ends[g.start]:ends[min(g.stop, len(new))]].tolist():
-                alone = self.tokenizer.encode_batch_fast(new[g], add_special_tokens=False)
-                self.differ.update(w for w, x, y in zip(new[g], alone, exact[g], strict=True) if x.ids != y)
+        self.tokenizer, self.exact = _tokenizer(json), _processor(model)
+        plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces and norm.add_dummy_prefix
+        self.cuts = plain and self.tokenizer.pre_tokenizer is not None
+
+    def parts(self, text: str) -> list[str]:
+        out, at = [], 0
+        while self.cuts and len(text) - at > PART_CHARS and (gap := _GAP.search(text, at + PART_CHARS)):
+            out.append(text[at:gap.start()])
+            at = gap.end()
+        return [*out, text[at:]]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The ids of every text as little-endian int32, and whether both libraries agreed on all its words."""
-        if len(self.memo) > MEMO:
-            self.forget()
-        words = [self.words(t) for t in texts]
-        if new := list(set(chain.from_iterable(words)).difference(self.memo)):
-            self.learn(new)
-        get = self.memo.__getitem__
-        ids = [b"".join(map(get, ws)) for ws in words]
-        agree = [self.differ.isdisjoint(ws) for ws in words] if self.differ else [True] * len(texts)
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
-                self.differ.discard(w)
-        return ids, agree
+        """The ids of every text as little-endian int32, and whether both libraries agreed on all of it."""
+        ids, agree = [[] for _ in texts], [True] * len(texts)
+        owners, group, size = [], [], 0
+
+        def run():
+            fast = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+            exact = self.exact.encode(group, num_threads=THREADS)
+            for owner, own, wanted in zip(owners, fast, exact, strict=True):
+                found = own.ids
+                if found != wanted:
+                    found, agree[owner] = wanted, False
+                ids[owner].append(np.array(found, "<i4").tobytes())
+
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                owners.append(i), group.append(part)
+                size += len(part)
+                if size >= PART_CHARS:
+                    run()
+                    owners, group, size = [], [], 0
+        if group:
+            run()
+        return [b"".join(x) for x in ids], agree
 
 
 def _lists(ids: list[bytes]) -> pa.Array:
@@ -213,7 +194,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     (columns named like the outputs are replaced); an empty table gives an empty result.
     """
     json = rebuild(model)
-    return tx.mapped(docs, text_col, _encode(json, model), {ids_col: "array<int>", parity_col: "boolean"}, keep_text, lambda: _encoder(json, model).forget())
+    return tx.mapped(docs, text_col, _encode(json, model), {ids_col: "array<int>", parity_col: "boolean"}, keep_text)
 
 
 def _decode(json: str):
@@ -246,9 +227,10 @@ def verified(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame
     """``docs`` without the text, with n_ids, parity of the two libraries, round_trip (decoding
     gives the text back) and ids_sha256 (of the ids as little-endian int32).
 
-    Null and empty texts have no ids.  Columns named like the outputs are replaced; an empty
-    table gives an empty result.
+    Null and empty texts have no ids.  Rows are handled one by one, so repeated rows give equal
+    rows; very long texts are encoded whole, in parts of bounded size.  Columns named like the
+    outputs are replaced; an empty table gives an empty result.
     """
     outputs = {"n_ids": "bigint", "parity": "boolean", "round_trip": "boolean", "ids_sha256": "string"}
     json = rebuild(model)
-    return tx.mapped(docs, text_col, _verify(json, model), outputs, False, lambda: _encoder(json, model).forget())
+    return tx.mapped(docs, text_col, _verify(json, model), outputs, False)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strata.llm import spm, tokcount
@@ -33,6 +34,29 @@ def test_ids_equal_sentencepiece(model):
         assert sum(a == b for a, b in zip(fast, exact, strict=True)) >= len(exact) - 1
 
 
+def test_ids_come_from_the_rebuilt_object_and_parity_sees_its_faults(model):
+    json = spm.rebuild(model)
+    texts = [t.replace("▁", "") for t in TEXTS]
+    ids, agree = spm.Encoder(json, model).encode(texts)
+    assert all(agree) and [list(np.frombuffer(i, "<i4")) for i in ids] == [e.ids for e in spm._tokenizer(json).encode_batch(texts, add_special_tokens=False)]
+    faults = [json.replace('{"type":"Prepend","prepend":"▁"},', ""), json.replace('"content":"▁"', '"content":"_"'), json.replace('"byte_fallback":true', '"byte_fallback":false')]
+    for fault in faults:
+        assert fault != json
+        again, agree = spm.Encoder(fault, model).encode(texts)
+        assert again == ids and not all(agree)
+
+
+def test_parts_of_long_texts_join_to_the_whole(model, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "the", " ", "  ", "▁", "\n", "é", "日", "x\ty"]) for _ in range(rng.randrange(300))) for _ in range(200)]
+    whole = [spm._processor(model).encode(t) for t in texts]
+    monkeypatch.setattr(spm, "PART_CHARS", 16)
+    encoder = spm.Encoder(spm.rebuild(model), model)
+    assert any(len(encoder.parts(t)) > 3 for t in texts)
+    ids, agree = encoder.encode(texts)
+    assert [np.frombuffer(i, "<i4").tolist() for i in ids] == whole and all(agree)
+
+
 def test_round_trip_parity_and_edges(spark, model):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(90, None), (None, "a"), (1, " ")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
