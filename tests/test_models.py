@@ -66,6 +66,29 @@ def test_knn_over_many_blocks(spark, kind, monkeypatch):
         assert got[r.row_id] == pytest.approx(_brute_knn(tr, np.array([r.x__a, r.x__b]), 15), rel=1e-9, abs=1e-12)
 
 
+def test_knn_descent_tests_few_boxes_and_loses_none(spark, monkeypatch):
+    """Boxes tested per query follow the depth of the tree, not its number of blocks."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    keys, tested = ["environment", "k"], {}
+    for n in (256, 4096):
+        x = np.random.default_rng(n).uniform(size=(n, 2))
+        train = spark.createDataFrame([("e", 0, i, p.tolist()) for i, p in enumerate(x)], "environment string, k int, tid long, x array<double>")
+        depth = knn._depth(n, 16)
+        cuts = knn._cuts(train, knn.stats_table(train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))), keys)
+        placed = knn.staged(knn._place(train, cuts, keys, depth), "test")
+        far = 1.0 / np.sqrt(n)
+        asked = placed.where("tid < 100").withColumn("far", F.lit(far)).withColumnRenamed("tid", "qid")
+        rounds = knn._descend(asked, knn._boxes(placed, keys, 2, depth), keys, depth)
+        tested[n] = sum(2 * r.count() for r in rounds[:-1]) / 100 + 2
+        found = {(r.qid, r.node) for r in rounds[-1].collect()}
+        block = {r.tid: r.block for r in placed.collect()}
+        for q in range(100):
+            for i in np.flatnonzero(((x - x[q]) ** 2).sum(axis=1) <= far * far):
+                assert (q, block[i]) in found
+    print(tested)
+    assert tested[4096] < 2.5 * tested[256] and tested[4096] < 12 * knn._depth(4096, 16)  # sixteen times the blocks
+
+
 def _gram_row(spark, x, y):
     pdf = pd.DataFrame({"g": 1, "y": y, **{f"x{i}": x[:, i] for i in range(x.shape[1])}})
     df = spark.createDataFrame(pdf)
