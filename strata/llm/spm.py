@@ -4,7 +4,7 @@ The model's protobuf is parsed once; its normaliser, the marker for blanks, the
 merges in the order of their scores, or unigram scores) and byte fallback are rebuilt as a
 ``tokenizers`` object, which encodes batches of whole texts with several threads and gives
 the ids.  Each text's ids are compared with those that sentencepiece finds on the same text,
-so a fault of the rebuilt normaliser, marker, pieces or word split shows; only where the two
+so a fault of the rebuilt normaliser, marker or pieces shows; only where the two
 differ sentencepiece's are returned, and the text's ``parity`` is false.
 """
 
@@ -48,7 +48,7 @@ def parse(model: bytes):
 
 def rebuild(model: bytes) -> str:
     """The JSON of a ``tokenizers`` object that does what the sentencepiece model does."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     proto = parse(model)
     train, norm, pieces = proto.trainer_spec, proto.normalizer_spec, proto.pieces
@@ -74,9 +74,6 @@ def rebuild(model: bytes) -> str:
     if norm.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
-    # No piece has the marker behind another character, so no merge crosses from a word into the next marker.
-    if not any(MARK in p.piece.lstrip(MARK) for p in pieces if p.type == NORMAL):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(),
                                      *([decoders.Strip(" ", 1, 0)] if norm.add_dummy_prefix else [])])
     return out.to_str()
@@ -100,16 +97,18 @@ def _processor(model: bytes):
 class Encoder:
     """Encodes whole texts by the rebuilt ``tokenizers`` object and holds them against sentencepiece.
 
-    Where nothing crosses from a word into the next marker, a text longer than PART_CHARS is
+    Where no piece has the marker behind another character, no merge crosses from a word into
+    the next, so nothing splits a text into words before the merges; and a text longer than PART_CHARS is
     handed over in parts, cut at blanks between words: the marker that the normaliser puts in
     front of a part stands for the blank, so the parts' ids joined are the text's.
     """
 
     def __init__(self, json: str, model: bytes):
-        norm = parse(model).normalizer_spec
+        proto = parse(model)
+        norm = proto.normalizer_spec
         self.tokenizer, self.exact = _tokenizer(json), _processor(model)
         plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces and norm.add_dummy_prefix
-        self.cuts = plain and self.tokenizer.pre_tokenizer is not None
+        self.cuts = plain and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (NORMAL, USER_DEFINED))
 
     def parts(self, text: str) -> list[str]:
         out, at = [], 0
