@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
+T = TypeVar("T")
+
 MARK = "▁"
 # Texts of a batch are encoded together by this many threads, as many as a task has cores.
 THREADS = 2
@@ -117,30 +121,48 @@ class Encoder:
             at = gap.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The ids of every text as little-endian int32, and whether both libraries agreed on all of it."""
-        ids, agree = [[] for _ in texts], [True] * len(texts)
-        owners, group, size = [], [], 0
+    def each(self, texts: list[str], finish: Callable[[list[int], bool], T]) -> list[T]:
+        """``finish`` of every text's ids and whether both libraries agreed on all of it, called when the text's last part is done."""
+        out, group, ends, size = [], [], [], 0
+        open_ids, open_agree = [], True
 
         def run():
+            nonlocal open_ids, open_agree
             fast = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
             exact = self.exact.encode(group, num_threads=THREADS)
-            for owner, own, wanted in zip(owners, fast, exact, strict=True):
+            for own, wanted, last in zip(fast, exact, ends, strict=True):
                 found = own.ids
-                if found != wanted:
-                    found, agree[owner] = wanted, False
-                ids[owner].append(np.array(found, "<i4").tobytes())
-
-        for i, text in enumerate(texts):
-            for part in self.parts(text):
-                owners.append(i), group.append(part)
+                same = found == wanted
+                if open_ids or not last:
+                    open_ids += found if same else wanted
+                else:
+                    open_ids = found if same else wanted
+                open_agree &= same
+                if last:
+                    out.append(finish(open_ids, open_agree))
+                    open_ids, open_agree = [], True
+
+        for text in texts:
+            parts = self.parts(text)
+            for i, part in enumerate(parts, 1):
+                group.append(part), ends.append(i == len(parts))
                 size += len(part)
                 if size >= PART_CHARS:
                     run()
-                    owners, group, size = [], [], 0
+                    group, ends, size = [], [], 0
         if group:
             run()
-        return [b"".join(x) for x in ids], agree
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of every text as little-endian int32, and whether both libraries agreed on all of it."""
+        found = self.each(texts, lambda ids, agree: (packed(ids), agree))
+        return [ids for ids, _ in found], [agree for _, agree in found]
+
+
+def packed(ids: list[int]) -> bytes:
+    """The ids as little-endian int32."""
+    return np.array(ids, "<i4").tobytes()
 
 
 def _lists(ids: list[bytes]) -> pa.Array:
@@ -215,10 +237,11 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 def _verify(json: str, model: bytes):
     def run(texts: pa.Array) -> list[pa.Array]:
         own = [t or "" for t in texts.to_pylist()]
-        ids, agree = _encoder(json, model).encode(own)
         decode = _decoder(json).decode
-        back = [decode(np.frombuffer(i, "<i4").tolist()) == t for i, t in zip(ids, own, strict=True)]
-        return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(agree, pa.bool_()), pa.array(back, pa.bool_()), pa.array([hashlib.sha256(i).hexdigest() for i in ids])]
+        text = iter(own)  # texts are finished in their order
+        found = _encoder(json, model).each(own, lambda ids, agree: (len(ids), agree, decode(ids) == next(text), hashlib.sha256(packed(ids)).hexdigest()))
+        types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+        return [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
     return run
 
 
