@@ -311,8 +311,9 @@ def score(df: DataFrame, contexts: Contexts, predictors: DataFrame, tol: float =
     return out if by_fold else out.drop("k")
 
 
-def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame) -> DataFrame:
-    """(row_id, env, fold, model, y_true, y_pred) of every validation row under every predictor (env, k, name, w) of its context."""
+def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(row_id, env, fold, model, y_true, y_pred) of every validation row under every predictor (env, k, name, w) of its context,
+    with the columns ``carry`` of the row."""
     spec = contexts.spec
 
     def step(state, env, t, batch, num, cats):
@@ -321,12 +322,14 @@ def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame) -> DataFra
             own = np.flatnonzero(fold == k)
             names, w, _, _ = t.predictors(k)
             pred, own_ids, own_y = t.design(k, num[own], [c[own] for c in cats]) @ w, ids.take(pa.array(own)), y.take(pa.array(own))
+            carried = [batch.column(f"carry{i}").take(pa.array(own)) for i in range(len(carry))]
             for i, name in enumerate(names):
-                yield own_ids, [env] * len(own), np.full(len(own), k), [name] * len(own), own_y, pred[:, i]
+                yield own_ids, [env] * len(own), np.full(len(own), k), [name] * len(own), own_y, pred[:, i], *carried
 
-    kind = dict(df.dtypes)[spec.row_id]
-    out = scan(df, contexts, step, f"row {kind}, env string, fold int, model string, y_true double, y_pred double", [_q(spec.row_id).alias("row")], more=listed(predictors))
-    return out.withColumnRenamed("row", spec.row_id).withColumnRenamed("env", spec.env)
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"row {kinds[spec.row_id]}, env string, fold int, model string, y_true double, y_pred double", *(f"carry{i} {kinds[c]}" for i, c in enumerate(carry))])
+    out = scan(df, contexts, step, schema, [_q(spec.row_id).alias("row"), *(_q(c).alias(f"carry{i}") for i, c in enumerate(carry))], more=listed(predictors))
+    return out.withColumnsRenamed({"row": spec.row_id, "env": spec.env, **{f"carry{i}": c for i, c in enumerate(carry)}})
 
 
 def fits(gram: DataFrame, learners: dict[str, dict]) -> DataFrame:
