@@ -311,9 +311,9 @@ def score(df: DataFrame, contexts: Contexts, predictors: DataFrame, tol: float =
     return out if by_fold else out.drop("k")
 
 
-def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame, carry: Sequence[str] = (), features: Callable | None = None) -> DataFrame:
     """(row_id, env, fold, model, y_true, y_pred) of every validation row under every predictor (env, k, name, w) of its context,
-    with the columns ``carry`` of the row."""
+    with the columns ``carry`` of the row; weights may belong to ``features`` of the design rows instead of these."""
     spec = contexts.spec
 
     def step(state, env, t, batch, num, cats):
@@ -321,7 +321,8 @@ def predict(df: DataFrame, contexts: Contexts, predictors: DataFrame, carry: Seq
         for k in sorted(set(fold.tolist()) & set(t.of)):
             own = np.flatnonzero(fold == k)
             names, w, _, _ = t.predictors(k)
-            pred, own_ids, own_y = t.design(k, num[own], [c[own] for c in cats]) @ w, ids.take(pa.array(own)), y.take(pa.array(own))
+            z = t.design(k, num[own], [c[own] for c in cats])
+            pred, own_ids, own_y = (z if features is None else features(z)) @ w, ids.take(pa.array(own)), y.take(pa.array(own))
             carried = [batch.column(f"carry{i}").take(pa.array(own)) for i in range(len(carry))]
             for i, name in enumerate(names):
                 yield own_ids, [env] * len(own), np.full(len(own), k), [name] * len(own), own_y, pred[:, i], *carried
