@@ -50,4 +50,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_sources", "q_clean", "q_split", "q_prep", "q_metrics", "q_report", "q_stats", "q_models", "q_score", "q_stack", "q_ml", "q_runs", "stacked", "q_wide", "q_rbf")
+QUERY_MODULES = ("q_sources", "q_clean", "q_split", "q_prep", "q_metrics", "q_report", "q_stats", "q_models", "q_score", "q_stack", "q_ml", "q_runs", "stacked", "q_wide", "q_rbf", "q_compare")
