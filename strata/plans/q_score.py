@@ -27,7 +27,7 @@ _UL = " UNION ALL ".join(f"SELECT environment, fold, '{c}' AS feature, {c} AS x,
 _CL = " UNION ALL ".join(f"SELECT environment, fold, '{c}' AS feature, coalesce({c}, 'nan') AS level, target AS y FROM folds"
                          for c in CAT)
 
-SCORE_SQL = XT_SQL + f""",
+_UNIVARIATE_SQL = XT_SQL + f""",
 ul AS ({_UL}),
 u1 AS (SELECT u.environment, ks.k, u.feature,
               round(CASE WHEN count(*) < 8 OR var_pop(x) = 0 OR var_pop(y) = 0 THEN 0.0
@@ -46,7 +46,10 @@ u2 AS (SELECT environment, k, feature, round(CASE WHEN levels >= 2 AND sst > 0 T
 uall AS (SELECT * FROM u1 UNION ALL SELECT * FROM u2),
 ur AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0
                  ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS u
-       FROM uall WINDOW w AS (PARTITION BY environment, k)),
+       FROM uall WINDOW w AS (PARTITION BY environment, k)),"""
+
+# One partner of a row for all features of a repeat.
+_PARTNERS_SQL = f"""
 pn AS (SELECT environment, fold AS k, count(*) AS n, 2305843009213693951 % count(*) AS a FROM folds GROUP BY environment, fold),
 ps AS (SELECT environment, k, n, r.range AS rep, CASE r.range WHEN 0 THEN a WHEN 1 THEN a * a % n ELSE a * a % n * a % n END AS a,
               CAST('0x' || substr(md5('{SEED}|' || r.range), 1, 8) AS BIGINT) % n AS b FROM pn, range({REPEATS}) r),
@@ -54,7 +57,17 @@ pl AS (SELECT row_id, CAST((row_number() OVER (PARTITION BY environment ORDER BY
 pv AS (SELECT xt.row_id, xt.environment, xt.k, xt.feature, xt.x, pl.place FROM xt JOIN pl USING (row_id) WHERE xt.fold = xt.k),
 perm AS (SELECT t.row_id, t.environment, t.k, t.feature, ps.rep, t.x, s.x AS x_perm
          FROM pv s JOIN ps ON ps.environment = s.environment AND ps.k = s.k
-         JOIN pv t ON t.environment = s.environment AND t.k = s.k AND t.feature = s.feature AND t.place = (ps.a * s.place + ps.b) % ps.n),
+         JOIN pv t ON t.environment = s.environment AND t.k = s.k AND t.feature = s.feature AND t.place = (ps.a * s.place + ps.b) % ps.n),"""
+
+# A permutation of its own for every feature and repeat.
+_SHUFFLED_SQL = f"""
+pv AS (SELECT xt.row_id, xt.environment, xt.k, xt.feature, r.range AS rep, xt.x FROM xt, range({REPEATS}) r WHERE xt.fold = xt.k),
+pa AS (SELECT *, row_number() OVER (PARTITION BY environment, k, feature, rep ORDER BY row_id) AS pos FROM pv),
+pb AS (SELECT environment, k, feature, rep, x AS x_perm, row_number() OVER (PARTITION BY environment, k, feature, rep
+         ORDER BY md5('{SEED}|' || feature || '|' || rep || '|' || row_id), row_id) AS pos FROM pv),
+perm AS (SELECT pa.row_id, pa.environment, pa.k, pa.feature, pa.rep, pa.x, pb.x_perm FROM pa JOIN pb USING (environment, k, feature, rep, pos)),"""
+
+_SELECTION_SQL = """
 pp AS (SELECT o.environment, o.k, o.model, p.feature, p.rep, o.y_true,
               o.y_pred + CASE WHEN p.feature = o.feature THEN o.slope ELSE 0.0 END * (p.x_perm - p.x) AS yp
        FROM oof o JOIN perm p ON p.row_id = o.row_id AND p.environment = o.environment AND p.k = o.k),
@@ -87,12 +100,19 @@ st1 AS (SELECT *, max(CAST(elig AS INTEGER)) OVER (PARTITION BY environment, mod
 stab AS (SELECT environment, model, feature, freq, mean_score,
                 CASE WHEN anye = 1 THEN elig AND re <= 7 ELSE ra <= 3 END AS selected FROM st1)"""
 
+SCORE_SQL = _UNIVARIATE_SQL + _PARTNERS_SQL + _SELECTION_SQL
+SHUFFLED_SQL = _UNIVARIATE_SQL + _SHUFFLED_SQL + _SELECTION_SQL
+
 
 class Scores:
-    """The scoring pipeline of one run (shared by the R queries); a query computes the parts that it reads."""
+    """The scoring pipeline of one run (shared by the R queries); a query computes the parts that it reads.
+
+    ``shuffled``: permutation scores on a permutation of its own for every feature and repeat,
+    else on one partner of a row for all features of a repeat.
+    """
 
-    def __init__(self, spark, sf):
-        self.cf = placed_folds(spark, sf)
+    def __init__(self, spark, sf, shuffled: bool = False):
+        self.cf, self.shuffled = placed_folds(spark, sf), shuffled
 
     @cached_property
     def uall(self):
@@ -109,7 +129,7 @@ class Scores:
         """Permutation scores of one OLS model per feature."""
         contexts = grams.fit(self.cf, COMFORT_SPEC, K, categorical=False)
         fits = staged(grams.fits(grams.cells(self.cf, contexts), SINGLE), "fits")
-        found = grams.importance(self.cf, contexts, fits, "place", REPEATS, SEED)
+        found = grams.importance(self.cf, contexts, fits, None if self.shuffled else "place", REPEATS, SEED)
         return staged(found.select(ENV, FOLD_CTX, "model", "feature", *[r6(c, 12).alias(c) for c in ("dR2", "dMAE", "dAcc")]), "importance")
 
     @cached_property
@@ -151,17 +171,17 @@ def q_r04(spark, sf):
     return Scores(spark, sf).r4
 
 
-@register("R05_combine_scores", with_sql(SCORE_SQL) +
+@register("R05_combine_scores", with_sql(SHUFFLED_SQL) +
           "SELECT environment, k, model, feature, round(u, 6) AS u, round(p, 6) AS p, round(combined, 6) AS combined FROM comb")
 def q_r05(spark, sf):
-    return Scores(spark, sf).comb
+    return Scores(spark, sf, shuffled=True).comb
 
 
 @register("R06_top_m_per_fold", with_sql(SCORE_SQL) +
           "SELECT environment, k, model, feature, round(combined, 6) AS combined, pick_rank FROM picks")
 def q_r06(spark, sf):
     return Scores(spark, sf).picks.select(ENV, FOLD_CTX, "model", "feature", "combined",
-                                          F.col("pick_rank").cast("bigint").alias("pick_rank"))
+                                                         F.col("pick_rank").cast("bigint").alias("pick_rank"))
 
 
 @register("R07_global_scope", with_sql(SCORE_SQL) + """,
