@@ -177,10 +177,10 @@ def q_r05(spark, sf):
     return Scores(spark, sf, shuffled=True).comb
 
 
-@register("R06_top_m_per_fold", with_sql(SCORE_SQL) +
+@register("R06_top_m_per_fold", with_sql(SHUFFLED_SQL) +
           "SELECT environment, k, model, feature, round(combined, 6) AS combined, pick_rank FROM picks")
 def q_r06(spark, sf):
-    return Scores(spark, sf).picks.select(ENV, FOLD_CTX, "model", "feature", "combined",
+    return Scores(spark, sf, shuffled=True).picks.select(ENV, FOLD_CTX, "model", "feature", "combined",
                                                          F.col("pick_rank").cast("bigint").alias("pick_rank"))
 
 
