@@ -184,14 +184,14 @@ def q_r06(spark, sf):
                                                          F.col("pick_rank").cast("bigint").alias("pick_rank"))
 
 
-@register("R07_global_scope", with_sql(SCORE_SQL) + """,
+@register("R07_global_scope", with_sql(SHUFFLED_SQL) + """,
 g AS (SELECT environment, k, feature, avg(combined) AS combined FROM comb GROUP BY ALL),
 gt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY environment, k ORDER BY combined DESC, feature) AS pick_rank
        FROM g) WHERE pick_rank <= 7)
 SELECT m.environment, m.k, m.model, gt.feature, round(gt.combined, 6) AS combined, gt.pick_rank
 FROM (SELECT DISTINCT environment, k, model FROM comb) m JOIN gt USING (environment, k)""")
 def q_r07(spark, sf):
-    s = Scores(spark, sf)
+    s = Scores(spark, sf, shuffled=True)
     g = score.global_scope(s.comb, [ENV, FOLD_CTX], 7)
     return g.select(ENV, FOLD_CTX, "model", "feature", "combined", F.col("pick_rank").cast("bigint").alias("pick_rank"))
 
