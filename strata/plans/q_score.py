@@ -203,7 +203,7 @@ def q_r08(spark, sf):
     return Scores(spark, sf).stab
 
 
-@register("R09_selection_report", with_sql(SCORE_SQL) + f""",
+@register("R09_selection_report", with_sql(SHUFFLED_SQL) + f""",
 rep AS (SELECT s.environment, s.model, s.feature AS Feature,
           CASE WHEN s.feature IN ({", ".join(f"'{c}'" for c in score.SURVEY_CATEGORICALS)}) THEN 'categorical'
                ELSE 'numeric' END AS Type,
@@ -223,7 +223,7 @@ SELECT environment, model, Feature, Type, round(Univariate_Score, 6) AS Univaria
        row_number() OVER (PARTITION BY environment, model ORDER BY Selected DESC, Combined_Score DESC, Feature) AS Rank
 FROM rep""")
 def q_r09(spark, sf):
-    s = Scores(spark, sf)
+    s = Scores(spark, sf, shuffled=True)
     return score.selection_report(s.stab, s.uall.withColumnRenamed(FOLD_CTX, "fold"), s.r4, s.comb, [ENV])
 
 

@@ -37,5 +37,5 @@ def test_rows_that_share_an_id_are_all_kept(spark):
 
 def test_statements_shuffle_each_feature_and_repeat():
     sql = entry.oracle_sql()
-    for name in ("R05_combine_scores", "R06_top_m_per_fold", "R07_global_scope"):
+    for name in ("R05_combine_scores", "R06_top_m_per_fold", "R07_global_scope", "R09_selection_report"):
         assert "PARTITION BY environment, k, feature, rep" in sql[name] and "|| feature || '|' || rep || '|' || row_id" in sql[name]
