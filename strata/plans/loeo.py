@@ -17,7 +17,7 @@ from ..functions.joins import join_stats
 from ..operators import grams, metrics, models
 from ..operators.prep import FOLD_CTX
 from ..session import staged
-from ..sources.tables import COMFORT_SPEC, comfort
+from ..sources.tables import COMFORT_SPEC, comfort_rows
 from .q_models import SINGLE
 
 ENV = "environment"
@@ -29,11 +29,11 @@ LOEO_METRICS = {"RMSE": True, "MAE": True, "R2": False, "Accuracy": False}
 
 def pooled(spark, sf) -> tuple[DataFrame, DataFrame, int]:
     """(all rows as one group with fold = number of their environment, (test_env, k), number of environments)."""
-    cf = comfort(spark, sf)
+    cf = comfort_rows(spark, sf)
     names = sorted(r[0] for r in cf.select(ENV).distinct().collect())  # the groups that are left out in turn: a handful
     idx = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "test_env string, fold int")
     rows = join_stats(cf.withColumnRenamed(ENV, "test_env"), idx, ["test_env"]).withColumn(ENV, F.lit(POOL))
-    return staged(rows, "pooled"), idx.withColumnRenamed("fold", FOLD_CTX), len(names)
+    return rows, idx.withColumnRenamed("fold", FOLD_CTX), len(names)
 
 
 def _ranked(scored: DataFrame, idx: DataFrame) -> DataFrame:
