@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, shards, split, stack
-from ..sources.tables import PREDICTIONS_SQL, comfort, predictions, with_sql
+from ..session import staged
+from ..sources.tables import PREDICTIONS_SQL, comfort, predictions, predictions_from, with_sql
 from . import sqlgen
 from .catalog import register
 
@@ -19,38 +20,46 @@ def base_wide(spark, sf):
     return stack.wide_oof(p, BASE)
 
 
-def stack_folds(spark, sf, repeats=3):
-    b = split.target_bins(comfort(spark, sf))
+def stack_folds(cf, repeats=3):
+    b = staged(split.target_bins(cf).select("row_id", ENV, "bin"), "bins")
     return split.repeated_folds(b, repeats=repeats, stratum="bin").select("row_id", ENV, "rep", "fold")
 
 
-def _cv(spark, sf, methods):
-    return stack.stacker_cv(base_wide(spark, sf), stack_folds(spark, sf), PCOLS, methods=methods)
+def stack_inputs(spark, sf):
+    """The base models' wide predictions and the stacker's folds, each written once: the sums and the result both read them."""
+    cf = staged(comfort(spark, sf).select("row_id", ENV, "f_qty", "f_disc", "target"), "comfort")
+    wide = stack.wide_oof(predictions_from(cf).where(F.col("model").isin(*BASE)), BASE)
+    return staged(wide, "wide"), staged(stack_folds(cf), "folds")
 
 
-def boosted_stack(spark, sf):
+def _cv(inputs, methods):
+    return stack.stacker_cv(*inputs, PCOLS, methods=methods)
+
+
+def boosted_stack(inputs):
     """Stacked rows of the boosted-tree blender, in the form of ``stack.stacker_cv``."""
-    wide = base_wide(spark, sf).join(stack_folds(spark, sf), ["row_id", ENV])
-    d = (wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    wide, folds = inputs
+    d = (wide.join(folds, ["row_id", ENV]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
          .withColumn("role", F.when(F.col("fold") == F.col("k"), "valid").otherwise("train")))
     out = shards.fit_predict(d, PCOLS, ["gbt_stack"], (ENV, "rep", "k"), target="y_true")
     return out.select("row_id", ENV, "rep", F.col("k").alias("fold"), F.lit("gbt").alias("method"), "y_true", F.col("y_pred").alias("y_stack"))
 
 
 def _all_stackers(spark, sf):
-    return _cv(spark, sf, ("nnls", "ridge", "avg")).unionByName(boosted_stack(spark, sf))
+    inputs = stack_inputs(spark, sf)
+    return _cv(inputs, ("nnls", "ridge", "avg")).unionByName(boosted_stack(inputs))
 
 
 @register("B01_blend_ridge")
 def q_b01(spark, sf):
     """Ridge blender (z-scored columns, alpha by inner CV): stacked OOF predictions."""
-    return _cv(spark, sf, ("ridge",))
+    return _cv(stack_inputs(spark, sf), ("ridge",))
 
 
 @register("B02_blend_nnls", bench=True)
 def q_b02(spark, sf):
     """Non-negative blend, weights normalised, intercept kept: stacked OOF predictions."""
-    return _cv(spark, sf, ("nnls",))
+    return _cv(stack_inputs(spark, sf), ("nnls",))
 
 
 @register("B03_blend_avg", with_sql(PREDICTIONS_SQL) + f"""
