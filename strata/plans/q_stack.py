@@ -26,20 +26,19 @@ def stack_folds(cf, repeats=3):
 
 
 def stack_inputs(spark, sf):
-    """The base models' wide predictions and the stacker's folds, each written once: the sums and the result both read them."""
+    """The base models' wide predictions, a row for each repeat with its fold of the stacker, written once: the sums, the boosted fits and the result all read them."""
     cf = staged(comfort(spark, sf).select("row_id", ENV, "f_qty", "f_disc", "target"), "comfort")
     wide = stack.wide_oof(predictions_from(cf).where(F.col("model").isin(*BASE)), BASE)
-    return staged(wide, "wide"), staged(stack_folds(cf), "folds")
+    return staged(wide.join(stack_folds(cf), ["row_id", ENV]), "stack")
 
 
 def _cv(inputs, methods):
-    return stack.stacker_cv(*inputs, PCOLS, methods=methods)
+    return stack.stacker_cv(inputs, None, PCOLS, methods=methods)
 
 
 def boosted_stack(inputs):
     """Stacked rows of the boosted-tree blender, in the form of ``stack.stacker_cv``."""
-    wide, folds = inputs
-    d = (wide.join(folds, ["row_id", ENV]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    d = (inputs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
          .withColumn("role", F.when(F.col("fold") == F.col("k"), "valid").otherwise("train")))
     out = shards.fit_predict(d, PCOLS, ["gbt_stack"], (ENV, "rep", "k"), target="y_true")
     return out.select("row_id", ENV, "rep", F.col("k").alias("fold"), F.lit("gbt").alias("method"), "y_true", F.col("y_pred").alias("y_stack"))
